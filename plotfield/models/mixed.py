@@ -14,6 +14,8 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from plotfield.models import posthoc
@@ -44,12 +46,13 @@ def _group_products(sums: DataFrame, group: str, frame: Frame, shift: float) ->
     def per_partition(batches):
         by_size: dict[int, list] = {}
         for batch in batches:
-            counts = batch["cells"].map(len).to_numpy()
-            flat = pd.DataFrame([tuple(c.values()) if isinstance(c, dict) else tuple(c)
-                                 for cells in batch["cells"] for c in cells],
-                                columns=[*factors, *fields])
-            if not len(flat):
+            lists = batch.column(0)
+            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            if not len(counts):
                 continue
+            structs = lists.flatten()
+            flat = pd.DataFrame({
+                name: structs.field(name).to_pandas() for name in [*factors, *fields]})
             fixed = design.factor_part(flat)
             columns = [flat[f"__s{w}"] if w >= 0 else flat["__n"] for w in which]
             x = fixed * np.column_stack(columns)
@@ -63,12 +66,14 @@ def _group_products(sums: DataFrame, group: str, frame: Frame, shift: float) ->
                 entry[0] += len(chosen)
                 entry[1] = entry[1] + chosen.T @ chosen
         if by_size:
-            yield pd.DataFrame({
-                "size": list(by_size), "groups": [e[0] for e in by_size.values()],
-                "products": [e[1].ravel().tolist() for e in by_size.values()],
+            yield pa.RecordBatch.from_pydict({
+                "size": pa.array(list(by_size), pa.int64()),
+                "groups": pa.array([e[0] for e in by_size.values()], pa.int64()),
+                "products": pa.array([e[1].ravel() for e in by_size.values()],
+                                     pa.list_(pa.float64())),
             })
 
-    parts = packed.mapInPandas(per_partition, "size long, groups long, products array<double>")
+    parts = packed.mapInArrow(per_partition, "size long, groups long, products array<double>")
     # Entry 0 carries the group count, the rest the products.
     entries = parts.select("size", F.posexplode(
         F.concat(F.array(F.col("groups").cast("double")), F.col("products"))))
@@ -88,21 +93,26 @@ class _Products:
             sizes = wide.index.to_numpy(float)
             self._local = (sizes, wide[0].to_numpy(), wide.drop(columns=0).to_numpy())
 
-    def at(self, ratio: float) -> tuple[float, np.ndarray]:
-        """Sum of log(1 + r n), and the correction matrix, over all groups."""
+    def at(self, ratio: float) -> tuple[float, np.ndarray, float, np.ndarray]:
+        """Sum of log(1 + r n) and the correction matrix over all groups, and their slopes."""
         w = self._width
         if self._local is not None:
             sizes, groups, products = self._local
-            correction = (ratio / (1.0 + ratio * sizes)) @ products
-            return float(groups @ np.log1p(ratio * sizes)), correction.reshape(w, w)
-        size = F.col("size").cast("double")
-        weight = F.when(F.col("pos") == 0, F.log1p(size * ratio)).otherwise(
-            F.lit(ratio) / (1 + size * ratio))
-        found = self._entries.groupBy("pos").agg(F.sum(F.col("total") * weight)).collect()
-        flat = np.zeros(w * w + 1)
-        for pos, value in found:
-            flat[pos] = value
-        return float(flat[0]), flat[1:].reshape(w, w)
+            grown = 1.0 + ratio * sizes
+            value = np.concatenate([[groups @ np.log(grown)], (ratio / grown) @ products])
+            slope = np.concatenate([[groups @ (sizes / grown)], (1.0 / grown**2) @ products])
+        else:
+            size = F.col("size").cast("double")
+            grown, first = 1.0 + size * ratio, F.col("pos") == 0
+            found = self._entries.groupBy("pos").agg(
+                F.sum(F.col("total") * F.when(first, F.log(grown)).otherwise(ratio / grown)),
+                F.sum(F.col("total") * F.when(first, size / grown).otherwise(1 / (grown * grown))),
+            ).collect()
+            value, slope = np.zeros(w * w + 1), np.zeros(w * w + 1)
+            for pos, v, d in found:
+                value[pos], slope[pos] = v, d
+        return (float(value[0]), value[1:].reshape(w, w),
+                float(slope[0]), slope[1:].reshape(w, w))
 
 
 class MixedFit:
@@ -129,7 +139,7 @@ class MixedFit:
         self._variation = None
 
     def _solve(self, ratio: float):
-        log_v, correction = self._products.at(ratio)
+        log_v, correction, _, _ = self._products.at(ratio)
         a = self._plain - correction[np.ix_(self._chosen, self._chosen)]
         x, xy, yy = a[:-1, :-1], a[:-1, -1], a[-1, -1]
         beta = np.linalg.solve(x, xy)
@@ -144,26 +154,39 @@ class MixedFit:
         value = log_det + self._df * (math.log(2.0 * math.pi * sigma2) + 1.0)
         return value, sigma2, beta, np.linalg.inv(x)
 
+    def _slope(self, log_ratio: float) -> float:
+        """Derivative of the profiled criterion in the log ratio."""
+        ratio = math.exp(log_ratio)
+        _, correction, log_slope, slope = self._products.at(ratio)
+        pick = np.ix_(self._chosen, self._chosen)
+        a, d = self._plain - correction[pick], -slope[pick]
+        x, xy = a[:-1, :-1], a[:-1, -1]
+        beta = np.linalg.solve(x, xy)
+        rss = a[-1, -1] - xy @ beta
+        moved = d[-1, -1] - 2.0 * beta @ d[:-1, -1] + beta @ d[:-1, :-1] @ beta
+        return ratio * (log_slope + np.trace(np.linalg.solve(x, d[:-1, :-1]))
+                        + self._df * moved / rss)
+
     def _search(self) -> float:
-        """Golden-section search on the log ratio around the best point of a coarse scan."""
-        scan = np.linspace(math.log(1e-6), math.log(1e6), 49)
+        """Coarse scan of the log ratio, then the root of the slope in the best bracket."""
+        scan = np.linspace(math.log(1e-8), math.log(1e8), 33)
         values = [self._profile(math.exp(s))[0] for s in scan]
         best = int(np.argmin(values))
         low, high = scan[max(best - 1, 0)], scan[min(best + 1, len(scan) - 1)]
-        shrink = (math.sqrt(5.0) - 1.0) / 2.0
-        a, b = high - shrink * (high - low), low + shrink * (high - low)
-        fa, fb = self._profile(math.exp(a))[0], self._profile(math.exp(b))[0]
-        while high - low > 1e-9:
-            if fa < fb:
-                high, b, fb = b, a, fa
-                a = high - shrink * (high - low)
-                fa = self._profile(math.exp(a))[0]
+        slope_low, slope_high = self._slope(low), self._slope(high)
+        if slope_low >= 0.0:
+            return 0.0
+        while slope_high > 0.0 and high - low > 1e-12:
+            # Regula falsi, with a bisection step whenever it crowds one end.
+            middle = low - slope_low * (high - low) / (slope_high - slope_low)
+            margin = 0.02 * (high - low)
+            middle = min(max(middle, low + margin), high - margin)
+            slope = self._slope(middle)
+            if slope < 0.0:
+                low, slope_low = middle, slope
             else:
-                low, a, fa = a, b, fb
-                b = low + shrink * (high - low)
-                fb = self._profile(math.exp(b))[0]
-        ratio = math.exp(0.5 * (low + high))
-        return 0.0 if self._profile(0.0)[0] <= self._profile(ratio)[0] else ratio
+                high, slope_high = middle, slope
+        return math.exp(0.5 * (low + high))
 
     def _criterion(self, group_variance: float, sigma2: float) -> float:
         log_det, rss, _, _ = self._solve(group_variance / sigma2)
