@@ -130,6 +130,20 @@ class Design:
                 out[:, c] *= cells[v].to_numpy(float)
         return out
 
+    def centring(self, at: Mapping[str, float]) -> np.ndarray:
+        """Matrix ``C`` with ``X @ C`` the design over covariates centred at ``at``.
+
+        Coefficients of the centred design, multiplied by ``C``, are those of the raw one.
+        """
+        place = {(tuple(sorted(c.items())), frozenset(m)): j for j, (c, m) in enumerate(self.parts)}
+        raw = np.eye(len(self.labels))
+        for j, (choice, monomial) in enumerate(self.parts):
+            for size in range(len(monomial)):
+                for kept in combinations(monomial, size):
+                    i = place[tuple(sorted(choice.items())), frozenset(kept)]
+                    raw[i, j] = np.prod([at[v] for v in monomial if v not in kept])
+        return np.linalg.inv(raw)
+
     def means_over(self, over: Sequence[str], at: Mapping[str, float]) -> tuple[list, np.ndarray]:
         """Rows of the reference grid: ``over`` levels, equal weight on other factors."""
         combos = list(product(*[range(len(self.levels[f])) for f in over]))

@@ -232,8 +232,9 @@ class BinomialMixedFit:
             value, z, gradient = better, polished, better_gradient
         self.deviance = value
         self.group_sd = abs(float(z[0]))
-        self.beta = beta + scale @ z[1:]
-        self.cov = scale @ (2.0 * np.linalg.inv(hessian)[1:, 1:]) @ scale.T
+        back = design.centring(at)
+        self.beta = back @ (beta + scale @ z[1:])
+        self.cov = back @ scale @ (2.0 * np.linalg.inv(hessian)[1:, 1:]) @ scale.T @ back.T
 
     def coefficients(self) -> DataFrame:
         rows = []
@@ -283,15 +284,18 @@ def glmm_binomial(
     kept = settle(cells) if local is None else local
     design = Design(list(fixed), find_levels(source, kept, levels or {}), source.covariates,
                     contrasts)
+    # Covariates enter centred; coefficients are carried back to the raw scale.
     if local is None:
         totals = kept.agg(F.sum("__n"), *[F.sum(F.col("__n") * F.col(c))
                                           for c in source.covariates]).first()
-        objective: _Local | _Spread = _Spread(kept, design)
+        at = {c: totals[1 + i] / totals[0] for i, c in enumerate(source.covariates)}
+        centred = kept.withColumns({c: F.col(c) - m for c, m in at.items()})
+        objective: _Local | _Spread = _Spread(centred, design)
     else:
         if local.empty:
             raise ValueError("no complete rows to fit")
-        totals = [local["__n"].sum(), *[(local["__n"] * local[c]).sum()
-                                        for c in source.covariates]]
-        objective = _Local(local.sort_values(["__g", *keys]).reset_index(drop=True), design)
-    at = {c: float(totals[1 + i] / totals[0]) for i, c in enumerate(source.covariates)}
+        totals = [local["__n"].sum()]
+        at = {c: float((local["__n"] * local[c]).sum() / totals[0]) for c in source.covariates}
+        centred = local.assign(**{c: local[c] - m for c, m in at.items()})
+        objective = _Local(centred.sort_values(["__g", *keys]).reset_index(drop=True), design)
     return BinomialMixedFit(df.sparkSession, design, objective, int(round(totals[0])), at)

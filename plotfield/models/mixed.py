@@ -122,6 +122,10 @@ class MixedFit:
         k = len(frame.design.labels)
         r = frame.triangle.copy()
         r[:, k] -= shift * r[:, 0]
+        # Covariates are centred for the cross-products, which square the conditioning.
+        self._centring = np.eye(k + 1)
+        self._centring[:k, :k] = frame.design.centring(frame.at)
+        r = r @ self._centring
         self.kept, _ = independent_columns(r, k)
         chosen = np.append(self.kept, k)
         self._plain = (r.T @ r)[np.ix_(chosen, chosen)]
@@ -130,16 +134,18 @@ class MixedFit:
         self.ratio = self._search()
         self.deviance, self.sigma2, beta, inverse = self._profile(self.ratio)
         self.group_variance = self.ratio * self.sigma2
-        beta = beta.copy()
+        self._back = self._centring[np.ix_(self.kept, self.kept)]
+        beta = self._back @ beta
         beta[0] += shift
         self.beta = np.full(k, np.nan)
         self.beta[self.kept] = beta
         self.cov = np.full((k, k), np.nan)
-        self.cov[np.ix_(self.kept, self.kept)] = self.sigma2 * inverse
+        self.cov[np.ix_(self.kept, self.kept)] = self.sigma2 * self._back @ inverse @ self._back.T
         self._variation = None
 
     def _solve(self, ratio: float):
         log_v, correction, _, _ = self._products.at(ratio)
+        correction = self._centring.T @ correction @ self._centring
         a = self._plain - correction[np.ix_(self._chosen, self._chosen)]
         x, xy, yy = a[:-1, :-1], a[:-1, -1], a[-1, -1]
         beta = np.linalg.solve(x, xy)
@@ -158,6 +164,8 @@ class MixedFit:
         """Derivative of the profiled criterion in the log ratio."""
         ratio = math.exp(log_ratio)
         _, correction, log_slope, slope = self._products.at(ratio)
+        correction = self._centring.T @ correction @ self._centring
+        slope = self._centring.T @ slope @ self._centring
         pick = np.ix_(self._chosen, self._chosen)
         a, d = self._plain - correction[pick], -slope[pick]
         x, xy = a[:-1, :-1], a[:-1, -1]
@@ -194,7 +202,7 @@ class MixedFit:
 
     def _covariance_at(self, group_variance: float, sigma2: float) -> np.ndarray:
         _, _, _, x = self._solve(group_variance / sigma2)
-        return sigma2 * np.linalg.inv(x)
+        return sigma2 * self._back @ np.linalg.inv(x) @ self._back.T
 
     def _variance_uncertainty(self):
         """Covariance of the two variances and the slopes of the coefficient covariance."""
