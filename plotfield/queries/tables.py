@@ -33,7 +33,7 @@ def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plot measurements."""
     df = load(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate",
-        (F.pmod("l_suppkey", F.lit(36)) + 1).cast("int").alias("Plot"),
+        (F.pmod("l_partkey", F.lit(36)) + 1).cast("int").alias("Plot"),
         F.year("l_shipdate").alias("Year"),
         F.col("l_linestatus").alias("Exclosure"),
         F.col("l_returnflag").alias("Depth"),
@@ -50,7 +50,7 @@ PLOTS_SQL = f"""plots AS (
   SELECT l_orderkey, l_linenumber, l_suppkey, l_shipdate, "Plot", "Year", "Exclosure", "Depth",
          "Biomass", "Cover", "Litter", "Severity", l_tax,
          {BURN_SQL.format('"Plot"')} AS "BurnTreat", {DROUGHT_SQL.format('"Plot"')} AS "Drought"
-  FROM (SELECT *, CAST(l_suppkey % 36 + 1 AS INTEGER) AS "Plot",
+  FROM (SELECT *, CAST(l_partkey % 36 + 1 AS INTEGER) AS "Plot",
                CAST(year(l_shipdate) AS INTEGER) AS "Year", l_linestatus AS "Exclosure",
                l_returnflag AS "Depth", l_quantity AS "Biomass", l_extendedprice AS "Cover",
                CASE WHEN l_tax > 0 THEN l_tax END AS "Litter", l_discount AS "Severity"
