@@ -227,9 +227,13 @@ def cell_sums(source: Source, extra: Sequence[str]) -> DataFrame:
 
 
 def bounded_pandas(df: DataFrame, limit: int) -> pd.DataFrame | None:
-    """The table on the driver if it has at most ``limit`` rows, else nothing."""
-    local = df.limit(limit + 1).toPandas()
-    return local if len(local) <= limit else None
+    """The table on the driver if it has at most ``limit`` rows, else nothing.
+
+    ``take`` stops early, so a table that is too large is neither gathered nor moved to one
+    task.
+    """
+    found = df.take(limit + 1)
+    return pd.DataFrame(found, columns=df.columns) if len(found) <= limit else None
 
 
 def find_levels(

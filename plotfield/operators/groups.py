@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plotfield.functions.missing import strict
 from plotfield.operators.joins import left_join, semi_join
 
 
@@ -27,10 +26,11 @@ def earliest_rows(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
 
     A group with a missing time has no known minimum and yields no rows.
     """
-    earliest = (
-        df.groupBy(*keys).agg(strict(F.min(time), time).alias(time)).where(F.col(time).isNotNull())
-    )
-    return semi_join(df.distinct(), earliest, [*keys, time])
+    # Only duplicate-insensitive aggregates, so that the optimizer can drop joins below that
+    # merely attach columns.
+    known = F.when(~F.bool_or(F.col(time).isNull()), F.min(time))
+    earliest = df.groupBy(*keys).agg(known.alias(time)).where(F.col(time).isNotNull())
+    return semi_join(df, earliest, [*keys, time]).distinct()
 
 
 def keep_groups_any(df: DataFrame, keys: Sequence[str], condition: Column) -> DataFrame:

@@ -9,9 +9,7 @@ import re
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, functions as F
-
-from plotfield.operators.joins import left_join
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def longer(
@@ -104,15 +102,13 @@ def wider(
     values: Sequence[Any],
     prefix: str = "",
 ) -> DataFrame:
-    """One column per listed value of ``name``. Listing them spares a discovery pass.
+    """One column per listed value of ``name``, in one aggregation.
 
     A cell must have one source row; two distinct values in one cell fail the job.
     """
-    single = F.when(
-        F.min(value).eqNullSafe(F.max(value)), F.min(value)
-    ).otherwise(F.raise_error(F.lit(f"several values of {value} in one cell")))
-    cells = df.where(F.col(name).isin(list(values))).groupBy(*ids, name).agg(single.alias("__v"))
-    spread = cells.groupBy(*ids).pivot(name, list(values)).agg(F.first("__v", ignorenulls=True))
-    spread = spread.withColumnsRenamed({str(v): f"{prefix}{v}" for v in values})
-    # Ids whose names are all outside the list still get a row.
-    return left_join(df.select(*ids).distinct(), spread, list(ids))
+    def cell(v: Any) -> Column:
+        held = F.when(F.col(name) == F.lit(v), F.col(value))
+        clash = F.raise_error(F.lit(f"several values of {value} in one cell"))
+        return F.when(F.min(held).eqNullSafe(F.max(held)), F.min(held)).otherwise(clash)
+
+    return df.groupBy(*ids).agg(*[cell(v).alias(f"{prefix}{v}") for v in values])

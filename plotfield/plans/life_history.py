@@ -14,6 +14,7 @@ from plotfield.operators import (
     proportion_se, semi_join, union_fill, zscore,
 )
 from plotfield.operators.joins import grid
+from plotfield.session import settle
 from plotfield.plans.experiment import BURN_NAMES, BURNED_PLOTS, burned_design, with_treatments
 
 # Field names of two species and their scientific abbreviations, and the
@@ -36,8 +37,9 @@ def reconstruct(shrubs: DataFrame, treatments: DataFrame) -> dict[str, DataFrame
     clean = clean.fillna("no", ["Exclosure"])
     history = panel.backfill_prior(clean, 2023, NEW_NOTES)
     history = panel.revive_earlier(panel.backfill_skipped(history, 2024), 2024)
+    # Every later study reads the panel several times: write it once.
     return {"lookup_duplicates": duplicate_keys(lookup, ["Plot"]), "clean": clean,
-            "panel": history}
+            "panel": settle(history)}
 
 
 def cohort_study(history: DataFrame) -> dict[str, Any]:

@@ -10,6 +10,7 @@ from plotfield.queries.tables import (
     BURN_SQL, COHORT_YEARS, DROUGHT_SQL, INDIVIDUALS_SQL, NEW_NOTES, individuals, plots, PLOTS_SQL,
     with_treatments,
 )
+from plotfield.session import settle
 
 BASE, LATER = 1999, [2000, 2001]
 
@@ -76,8 +77,13 @@ def _panel(spark: SparkSession, sf: str) -> DataFrame:
     return panel.revive_earlier(panel.backfill_skipped(_prior(spark, sf), 2001), 2001)
 
 
+def _settled_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """The panel, written once because what follows reads it several times."""
+    return settle(_panel(spark, sf))
+
+
 def _cohorts(spark: SparkSession, sf: str) -> DataFrame:
-    return panel.assign_cohort(_panel(spark, sf), COHORT_YEARS, NEW_NOTES, "new")
+    return panel.assign_cohort(_settled_panel(spark, sf), COHORT_YEARS, NEW_NOTES, "new")
 
 
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,7 +93,7 @@ def _counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _history(spark: SparkSession, sf: str) -> DataFrame:
-    return panel.survival_history(_panel(spark, sf), BASE, LATER, "seedling", carry=["Exclosure"])
+    return panel.survival_history(_settled_panel(spark, sf), BASE, LATER, "seedling", carry=["Exclosure"])
 
 
 def _moves(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,17 +25,28 @@ def build_session(app: str = "plotfield", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a table that an iterative fit reads many times.
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    session, where executors and driver share a disk, gets a temporary folder instead.
+    Only a local session, where executors and driver share a disk, gets a temporary one.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None and not context.master.startswith("local"):
+    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="plotfield-"))
-    return df.checkpoint()
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="plotfield-"))
+        found = context.getCheckpointDir()
+    return found
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a table that several later steps read, and go on from the written copy.
+
+    The copy is columnar, so later steps still prune columns and push filters down, and it
+    outlives lost executors. Its size is known, which lets joins broadcast it if small.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
