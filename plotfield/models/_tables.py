@@ -1,4 +1,4 @@
-"""Small result tables."""
+"""Small result tables. A number that does not exist is missing."""
 
 from __future__ import annotations
 
@@ -8,14 +8,16 @@ from typing import Any
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from plotfield.sources.tables import literal_table
+
 
 def _plain(x: Any) -> Any:
     if isinstance(x, (float, np.floating)):
-        return float(x) if np.isfinite(x) else (None if np.isnan(x) else float(x))
+        return None if np.isnan(x) else float(x)
     if isinstance(x, np.integer):
         return int(x)
     return x
 
 
 def table(spark: SparkSession, rows: Iterable[Sequence[Any]], schema: str) -> DataFrame:
-    return spark.createDataFrame([tuple(_plain(x) for x in r) for r in rows], schema)
+    return literal_table(spark, [tuple(_plain(x) for x in r) for r in rows], schema)

@@ -13,7 +13,7 @@ from plotfield.models._tables import table
 from plotfield.models._tails import studentised_range_upper, t_quantile, t_two_sided
 from plotfield.models.design import Design
 
-MAX_MEANS = 500
+MAX_MEANS = 140
 
 
 def _grid(design: Design, over: Sequence[str], at: Mapping[str, float]):

@@ -4,15 +4,20 @@ The built-in exact percentile keeps all distinct values of a group in one task.
 approximate percentile first brackets each wanted rank (its rank error is bounded, and the
 bracket is several times wider); everything below a bracket collapses to a single count on
 the map side, and only the bracket itself is ordered. Small groups use [min, max] instead.
+
+The per-group limits are written before they are joined: their size is then known, and if
+it is small they are broadcast, so the measured rows are not shuffled at all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plotfield.operators.joins import left_join
+from plotfield.session import settle
 
 ACCURACY = 10_000
 MARGIN = 1e-3
@@ -35,44 +40,42 @@ def exact_quantiles(
         F.max("__v").alias("__max"),
         F.percentile_approx("__v", edges, ACCURACY).alias("__edges"),
     )
+    small = F.col("n") <= SMALL_GROUP
+    brackets = [(f"__low{i}", f"__high{i}") for i in range(len(probs))]
+    bounds = [
+        F.when(small, F.col(whole)).otherwise(F.get("__edges", F.lit(at))).alias(name)
+        for i, pair in enumerate(brackets)
+        for whole, at, name in zip(("__min", "__max"), (2 * i, 2 * i + 1), pair)
+    ]
+    limits = limits.select(*keys, "n", *bounds)
     if keys:
-        placed = left_join(rows, limits, keys)
+        placed = left_join(rows, settle(limits), keys)
     else:
         placed = rows.withColumns(
-            {c: limits.select(F.col(c)).scalar() for c in ("n", "__min", "__max", "__edges")})
-
-    small = F.col("n") <= SMALL_GROUP
-
-    def entry(i: int) -> Column:
-        low = F.when(small, F.col("__min")).otherwise(F.get("__edges", F.lit(2 * i)))
-        high = F.when(small, F.col("__max")).otherwise(F.get("__edges", F.lit(2 * i + 1)))
-        inside = F.when(F.col("__v") >= low, F.col("__v"))
-        return F.when(F.col("__v") <= high, F.struct(F.lit(i).alias("i"), inside.alias("v")))
-
+            {c: limits.select(F.col(c)).scalar() for c in limits.columns})
+    v = F.col("__v")
+    inside = reduce(Column.__or__, [v.between(F.col(low), F.col(high)) for low, high in brackets])
+    # Rows between brackets only need counting: one record per gap, whichever its values.
+    gap = reduce(Column.__add__, [(v > F.col(high)).cast("int") for _, high in brackets])
     counted = (
-        placed.select(
-            *keys, "n",
-            F.explode(F.filter(F.array(*[entry(i) for i in range(len(probs))]),
-                               lambda e: e.isNotNull())).alias("__e"))
-        .select(*keys, "n", F.col("__e.i").alias("__i"), F.col("__e.v").alias("__v"))
-        .groupBy(*keys, "n", "__i", "__v")
-        .agg(F.count(F.lit(1)).alias("__c"))
+        placed.select(*keys, "n", "__v", F.when(inside, v).alias("__kept"),
+                      F.when(~inside, gap).alias("__gap"))
+        .groupBy(*keys, "n", "__kept", "__gap")
+        .agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__at"))
     )
-    running = Window.partitionBy(*keys, "__i").orderBy(F.col("__v").asc_nulls_first()).rowsBetween(
+    running = Window.partitionBy(*keys).orderBy("__at").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     ranked = counted.withColumn("__cum", F.sum("__c").over(running))
 
-    def chosen(i: int, p: float) -> Column:
+    def chosen(p: float) -> Column:
         position = (F.col("n") - 1) * F.lit(float(p))
         base = F.floor(position)
-        this = F.col("__i") == i
-        lower = F.min(F.when(this & (F.col("__cum") >= base + 1), F.col("__v")))
-        upper = F.min(F.when(this & (F.col("__cum") >= F.ceil(position) + 1), F.col("__v")))
-        fraction = F.first(position - base)
-        return lower + (upper - lower) * fraction
+        lower = F.min(F.when(F.col("__cum") >= base + 1, F.col("__at")))
+        upper = F.min(F.when(F.col("__cum") >= F.ceil(position) + 1, F.col("__at")))
+        return lower + (upper - lower) * F.first(position - base)
 
     return ranked.groupBy(*keys, "n").agg(
-        *[chosen(i, p).alias(name) for i, (p, name) in enumerate(zip(probs, names))])
+        *[chosen(p).alias(name) for p, name in zip(probs, names)])
 
 
 def _fenced(df: DataFrame, by: Sequence[str], value: str, coef: float):
@@ -83,7 +86,7 @@ def _fenced(df: DataFrame, by: Sequence[str], value: str, coef: float):
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where(
         F.col("__v").isNotNull())
     if keys:
-        return left_join(rows, boxes, keys)
+        return left_join(rows, settle(boxes), keys)
     names = ("q1", "median", "q3", "__lo", "__hi")
     return rows.withColumns({c: boxes.select(F.col(c)).scalar() for c in names})
 

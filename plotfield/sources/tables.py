@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -67,4 +68,7 @@ def literal_table(
     """Small inline lookup. Its size is known, so joins may broadcast it."""
     if len(rows) > MAX_LITERAL_ROWS:
         raise ValueError(f"{len(rows)} rows is too many for an inline table")
-    return spark.createDataFrame([tuple(r) for r in rows], schema)
+    fields = (schema if isinstance(schema, StructType) else StructType.fromDDL(schema)).fields
+    columns = [pa.array([row[i] for row in rows]) for i in range(len(fields))]
+    inline = spark.createDataFrame(pa.table(columns, names=[f.name for f in fields]))
+    return inline.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields])
