@@ -19,13 +19,13 @@ from plotfield.session import build_session  # noqa: E402
 
 HEADLINE = [
     "treatment_mean_se", "mean_se_nonnull", "pooled_se", "across_summary", "season_mean_se",
-    "daily_mean_se", "entity_daily_mean", "box_summary", "quantiles_exact", "zscores",
-    "contingency_table", "proportions", "to_long", "to_wide", "wide_sensor_sheet", "join_inner",
-    "anti_join_nullsafe", "join_member_flag", "complete_grid", "first_year_seen",
-    "earliest_group_rows", "revive_earlier", "cohort_members", "cohort_counts_complete",
-    "survival_summary", "establishment", "welch_t_test", "simple_regression", "anova_type1",
-    "anova_type3", "moisture_anova", "pairwise_contrasts", "quasi_poisson_factorial",
-    "path_effects", "mixed_wald", "binomial_mixed",
+    "daily_mean_se", "entity_daily_mean", "box_stats", "exact_quantiles", "zscore",
+    "contingency", "proportion_se", "longer", "wider", "wide_sensor_sheet", "inner_join",
+    "anti_join_nullsafe", "member_flag", "complete_grid", "first_seen",
+    "earliest_rows", "revive_earlier", "cohort_members", "cohort_counts_complete",
+    "survival_summary", "establishment", "welch_t", "ols_simple", "anova_type1",
+    "anova_type3", "moisture_anova", "pairwise", "glm_quasipoisson_factorial",
+    "path_effects", "lmm_wald", "glmm_binomial",
 ]
 
 

@@ -28,6 +28,7 @@ from plotfield.models.linear import independent_columns
 from plotfield.session import settle
 
 MAX_SIZES = 2_000
+FLUSH_SIZES = 2_000
 
 
 def _group_products(sums: DataFrame, group: str, frame: Frame, shift: float) -> DataFrame:
@@ -43,6 +44,14 @@ def _group_products(sums: DataFrame, group: str, frame: Frame, shift: float) ->
     packed = sums.groupBy(group).agg(
         F.collect_list(F.struct(*factors, *fields)).alias("cells")).select("cells")
 
+    def emit(by_size):
+        return pa.RecordBatch.from_pydict({
+            "size": pa.array(list(by_size), pa.int64()),
+            "groups": pa.array([e[0] for e in by_size.values()], pa.int64()),
+            "products": pa.array([e[1].ravel() for e in by_size.values()],
+                                 pa.list_(pa.float64())),
+        })
+
     def per_partition(batches):
         by_size: dict[int, list] = {}
         for batch in batches:
@@ -65,13 +74,12 @@ def _group_products(sums: DataFrame, group: str, frame: Frame, shift: float) ->
                 entry = by_size.setdefault(int(size), [0, 0.0])
                 entry[0] += len(chosen)
                 entry[1] = entry[1] + chosen.T @ chosen
+            # Partial sums may be handed on at any time, which bounds the task's memory.
+            if len(by_size) > FLUSH_SIZES:
+                yield emit(by_size)
+                by_size = {}
         if by_size:
-            yield pa.RecordBatch.from_pydict({
-                "size": pa.array(list(by_size), pa.int64()),
-                "groups": pa.array([e[0] for e in by_size.values()], pa.int64()),
-                "products": pa.array([e[1].ravel() for e in by_size.values()],
-                                     pa.list_(pa.float64())),
-            })
+            yield emit(by_size)
 
     parts = packed.mapInArrow(per_partition, "size long, groups long, products array<double>")
     # Entry 0 carries the group count, the rest the products.

@@ -15,6 +15,7 @@ from plotfield.functions.missing import is_in, std_error, strict as strictly
 from plotfield.functions.text import mean_sd_text
 from plotfield.operators.joins import complete, grid, left_join
 from plotfield.operators.reshape import longer_values
+from plotfield.session import settle
 from plotfield.sources.tables import MAX_LITERAL_ROWS
 
 FUNCTIONS: Mapping[str, Callable[[str], Column]] = {
@@ -151,10 +152,10 @@ def contingency(
 ) -> DataFrame:
     """Counts for every combination of levels, with zeros; missing values are left out."""
     counts = df.dropna(subset=list(cols)).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
-    axes = {}
-    for c in cols:
-        known = (levels or {}).get(c)
-        axes[c] = list(known) if known is not None else _observed_levels(df, c)
+    known = dict(levels or {})
+    if any(c not in known for c in cols):
+        counts = settle(counts)  # one pass over the rows, whatever the number of axes
+    axes = {c: list(known[c]) if c in known else _observed_levels(counts, c) for c in cols}
     return complete(grid(df.sparkSession, axes), counts, list(cols), fill=0)
 
 

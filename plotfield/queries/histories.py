@@ -177,7 +177,7 @@ def survival_summary(spark: SparkSession, sf: str) -> DataFrame:
   CAST(CASE WHEN count(st) = count(*) THEN count(*) FILTER (st = 'alive') END AS DOUBLE) AS "alive",
   {sql_rounded("CASE WHEN count(st) = count(*) THEN count(*) FILTER (st = 'alive') END / count(*)")} AS "survival_rate"
 FROM long GROUP BY ALL""")
-def survival_by_plot(spark: SparkSession, sf: str) -> DataFrame:
+def survival_by_(spark: SparkSession, sf: str) -> DataFrame:
     filled = _history(spark, sf).fillna("dead", ["Status_2000", "Status_2001"])
     stats = panel.survival_by(filled, ["Plot", "Exclosure"])
     return with_rounded(stats.withColumn("alive", F.col("alive").cast("double")), "survival_rate")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plotfield.functions import (
-    any3, as_date, band, count_distinct_with_missing, density, interaction_key, is_in,
+    any3, as_date, band, cols_with_prefix, count_distinct_with_missing, density, interaction_key, is_in,
     label_pairs, level_rank, levels, lookup, non_numeric, not_in, overwrite_when, parity,
     parse_subplot, paste, recode, remove_first, to_number, underscores_to_spaces, water_year,
     with_error_bounds, with_levels,
@@ -45,7 +45,7 @@ SELECT l_orderkey, l_linenumber,
        WHEN "BurnTreat" = 'Severe_Burn' AND "Drought" = 'Drought' THEN 'Severe Burn Drought' END
     AS "TreatmentLabel"
 FROM plots""")
-def label_pair(spark: SparkSession, sf: str) -> DataFrame:
+def label_pairs_(spark: SparkSession, sf: str) -> DataFrame:
     labels = {(b, d): f"{b.replace('_', ' ')} {d}"
               for b in ("Moderate_Burn", "Severe_Burn") for d in ("Ambient", "Drought")}
     return plots(spark, sf).select(
@@ -81,7 +81,7 @@ def fill_missing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {INDIVIDUALS_SQL}
 SELECT DISTINCT "Tag" FROM individuals WHERE NOT regexp_matches("Tag", '^-?\\d*(\\.\\d+)?$')""")
-def non_numeric_values(spark: SparkSession, sf: str) -> DataFrame:
+def non_numeric_(spark: SparkSession, sf: str) -> DataFrame:
     return non_numeric(individuals(spark, sf), "Tag")
 
 
@@ -120,7 +120,7 @@ def text_patterns(spark: SparkSession, sf: str) -> DataFrame:
 SELECT event_id, "BurnTreat" || '.' || "Drought" || '.' || "Depth" AS "key",
   coalesce("BurnTreat", 'NA') || '_' || coalesce("Depth", 'NA') AS "pasted",
   replace("BurnTreat", '_', ' ') AS "label" FROM sensors""")
-def interaction_keys(spark: SparkSession, sf: str) -> DataFrame:
+def interaction_key_(spark: SparkSession, sf: str) -> DataFrame:
     return sensors(spark, sf).select(
         "event_id", interaction_key("BurnTreat", "Drought", "Depth").alias("key"),
         paste("BurnTreat", "Depth", sep="_").alias("pasted"),
@@ -150,7 +150,7 @@ SELECT "Plot", "Year", "Tag",
   CASE WHEN "Year" = 2000 AND "Species" = 'DW' THEN 'alive'
        WHEN NOT ("Year" = 2000 AND "Species" = 'DW') THEN "Status" END AS "Status"
 FROM individuals""")
-def conditional_overwrite(spark: SparkSession, sf: str) -> DataFrame:
+def overwrite_when_(spark: SparkSession, sf: str) -> DataFrame:
     df = individuals(spark, sf).select("Plot", "Year", "Tag", "Species", "Status")
     hit = (F.col("Year") == 2000) & (F.col("Species") == "DW")
     return overwrite_when(df, "Status", hit, "alive").drop("Species")
@@ -160,7 +160,7 @@ def conditional_overwrite(spark: SparkSession, sf: str) -> DataFrame:
 SELECT l_orderkey, l_linenumber,
   CASE "BurnTreat" WHEN 'Moderate_Burn' THEN 'moderate' WHEN 'Severe_Burn' THEN 'severe' END AS "short"
 FROM plots""")
-def named_lookup(spark: SparkSession, sf: str) -> DataFrame:
+def lookup_(spark: SparkSession, sf: str) -> DataFrame:
     short = lookup("BurnTreat", {"Moderate_Burn": "moderate", "Severe_Burn": "severe"})
     return plots(spark, sf).select("l_orderkey", "l_linenumber", short.alias("short"))
 
@@ -169,7 +169,7 @@ def named_lookup(spark: SparkSession, sf: str) -> DataFrame:
 SELECT l_orderkey, l_linenumber,
   {sql_rounded('''"Biomass" / CASE WHEN "Exclosure" = 'F' THEN 0.5 ELSE 9.0 END''')} AS "density",
   {sql_rounded('ln(1 + "Cover")')} AS "log_cover" FROM plots""")
-def area_density(spark: SparkSession, sf: str) -> DataFrame:
+def density_(spark: SparkSession, sf: str) -> DataFrame:
     return plots(spark, sf).select(
         "l_orderkey", "l_linenumber",
         rounded(density("Biomass", "Exclosure", {"F": 0.5}, 9.0)).alias("density"),
@@ -180,7 +180,7 @@ def area_density(spark: SparkSession, sf: str) -> DataFrame:
 SELECT "BurnTreat", {sql_rounded('avg("Biomass") - stddev_samp("Biomass") / sqrt(count(*))')} AS "lower",
   {sql_rounded('avg("Biomass") + stddev_samp("Biomass") / sqrt(count(*))')} AS "upper"
 FROM plots GROUP BY "BurnTreat" """)
-def error_bounds(spark: SparkSession, sf: str) -> DataFrame:
+def with_error_bounds_(spark: SparkSession, sf: str) -> DataFrame:
     stats = mean_se(plots(spark, sf), ["BurnTreat"], "Biomass")
     return with_rounded(with_error_bounds(stats, "mean", "se"), "lower", "upper").select(
         "BurnTreat", "lower", "upper")
@@ -193,7 +193,7 @@ SELECT "Plot", "Year",
   CAST(count(DISTINCT "Species") + max(CASE WHEN "Species" IS NULL THEN 1 ELSE 0 END) AS BIGINT)
     AS "n_species"
 FROM individuals GROUP BY "Plot", "Year" """)
-def any_three_valued(spark: SparkSession, sf: str) -> DataFrame:
+def any3_(spark: SparkSession, sf: str) -> DataFrame:
     return individuals(spark, sf).groupBy("Plot", "Year").agg(
         any3(F.col("Status") == "alive").alias("any_alive"),
         count_distinct_with_missing("Species").alias("n_species"))
@@ -202,7 +202,7 @@ def any_three_valued(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS "day",
   CAST(year(o_orderdate) + CASE WHEN month(o_orderdate) >= 10 THEN 1 ELSE 0 END AS INTEGER) AS "Water_Year"
 FROM orders""")
-def water_years(spark: SparkSession, sf: str) -> DataFrame:
+def water_year_(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "orders").select(
         "o_orderkey", as_date("o_orderdate").cast("string").alias("day"),
         water_year("o_orderdate").alias("Water_Year"))
@@ -210,7 +210,7 @@ def water_years(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT o_orderkey, o_custkey, o_totalprice FROM orders
 ORDER BY o_totalprice, o_orderkey LIMIT 20""")
-def head_rows(spark: SparkSession, sf: str) -> DataFrame:
+def first_rows_(spark: SparkSession, sf: str) -> DataFrame:
     df = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return first_rows(df, 20, ["o_totalprice", "o_orderkey"])
 
@@ -220,3 +220,25 @@ SELECT "Plot", "Tag", "Year", "Status" FROM individuals ORDER BY 1, 2, 3, 4 NULL
 def sorted_panel(spark: SparkSession, sf: str) -> DataFrame:
     df = individuals(spark, sf).select("Plot", "Tag", "Year", "Status")
     return arrange(df, "Plot", "Tag", "Year", "Status")
+
+
+@query("""SELECT o_orderkey AS "key", o_totalprice AS "price", o_orderdate IS NULL AS "undated", '2023' AS "Year",
+  o_orderkey AS "o_key_copy" FROM orders""")
+def column_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """Rename, drop, constant column, and selection by name prefix."""
+    df = load(spark, sf, "orders").drop("o_custkey", "o_orderpriority")
+    df = df.withColumnsRenamed({"o_orderkey": "key", "o_totalprice": "price"})
+    df = df.withColumns({"undated": F.col("o_orderdate").isNull(), "Year": F.lit("2023"),
+                         "o_key_copy": F.col("key")})
+    return df.select("key", "price", "undated", "Year", *cols_with_prefix(df, "o_key"))
+
+
+@query(f"""WITH {SENSORS_SQL}
+SELECT 'enclosed' AS "part", event_id, "VWC" FROM sensors WHERE "Depth" = 'click' AND "Plot" <= 24
+UNION ALL SELECT 'open', event_id, "VWC" FROM sensors WHERE NOT ("Depth" = 'click' AND "Plot" <= 24)""")
+def split_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Two subsets by a mask; rows whose mask is missing belong to neither."""
+    df = sensors(spark, sf)
+    mask = (F.col("Depth") == "click") & (F.col("Plot") <= 24)
+    first = df.where(mask).select(F.lit("enclosed").alias("part"), "event_id", "VWC")
+    return first.unionByName(df.where(~mask).select(F.lit("open").alias("part"), "event_id", "VWC"))

@@ -13,10 +13,16 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register under the function's name. A trailing underscore, which keeps a query apart
+    from the operator it exercises, is not part of the name."""
+
     def register(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
+        name = fn.__name__.rstrip("_")
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered twice")
+        QUERIES[name] = fn
         if sql is not None:
-            ORACLES[fn.__name__] = sql
+            ORACLES[name] = sql
         return fn
 
     return register

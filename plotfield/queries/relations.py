@@ -20,7 +20,7 @@ from plotfield.queries.tables import (
 @query(f"""WITH {PLOTS_SQL}
 SELECT p.l_orderkey, p.l_linenumber, p."Biomass", s.s_acctbal AS aspect
 FROM plots p JOIN supplier s ON p.l_suppkey = s.s_suppkey""")
-def join_inner(spark: SparkSession, sf: str) -> DataFrame:
+def inner_join_(spark: SparkSession, sf: str) -> DataFrame:
     aspect = load(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("l_suppkey"), F.col("s_acctbal").alias("aspect"))
     measured = plots(spark, sf).select("l_orderkey", "l_linenumber", "l_suppkey", "Biomass")
@@ -63,7 +63,7 @@ SELECT "Plot", "Year", "Tag", "Species" FROM individuals d WHERE EXISTS (
   SELECT 1 FROM individuals p WHERE p."Year" = 1999 AND p."Type" = 'seedling'
     AND p."Plot" = d."Plot" AND p."Species" IS NOT DISTINCT FROM d."Species"
     AND p."Tag" = d."Tag")""")
-def join_semi(spark: SparkSession, sf: str) -> DataFrame:
+def semi_join_(spark: SparkSession, sf: str) -> DataFrame:
     df = individuals(spark, sf).select("Plot", "Year", "Tag", "Species", "Type")
     roster = df.where("Year = 1999 and Type = 'seedling'")
     return semi_join(df, roster, ["Plot", "Species", "Tag"]).drop("Type")
@@ -72,7 +72,7 @@ def join_semi(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {INDIVIDUALS_SQL}
 SELECT "Plot", "Year", "Tag", "Tag" IN (SELECT "Tag" FROM individuals
   WHERE "Year" = 2001 AND "Status" = 'dead' AND "Type" = 'resprout') AS "flag" FROM individuals""")
-def join_member_flag(spark: SparkSession, sf: str) -> DataFrame:
+def member_flag_(spark: SparkSession, sf: str) -> DataFrame:
     df = individuals(spark, sf).select("Plot", "Year", "Tag", "Status", "Type")
     dead = df.where("Year = 2001 and Status = 'dead' and Type = 'resprout'")
     return member_flag(df, dead, "Tag", "flag").drop("Status", "Type")
@@ -104,7 +104,7 @@ def complete_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT o_orderkey AS "key", o_totalprice AS "value", o_orderstatus AS "status", NULL::VARCHAR AS "segment" FROM orders
 UNION ALL SELECT c_custkey, c_acctbal, NULL, c_mktsegment FROM customer""")
-def rows_union_fill(spark: SparkSession, sf: str) -> DataFrame:
+def union_fill_(spark: SparkSession, sf: str) -> DataFrame:
     first = load(spark, sf, "orders").select(
         F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"),
         F.col("o_orderstatus").alias("status"))
@@ -116,7 +116,7 @@ def rows_union_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT s_nationkey AS "nation", s_acctbal AS "balance" FROM supplier
 UNION ALL SELECT c_nationkey, c_acctbal FROM customer""")
-def rows_union_strict(spark: SparkSession, sf: str) -> DataFrame:
+def union_strict_(spark: SparkSession, sf: str) -> DataFrame:
     first = load(spark, sf, "supplier").select(
         F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
     second = load(spark, sf, "customer").select(
@@ -129,7 +129,7 @@ SELECT "BurnTreat", "Exclosure", {sql_rounded('avg("Biomass")')} AS "mean",
   {sql_rounded('stddev_samp("Biomass") / sqrt(count(*))')} AS "se"
 FROM plots WHERE "BurnTreat" <> 'Unburned' GROUP BY ALL
 UNION ALL SELECT * FROM (VALUES ('Unburned', 'F', 0.0::DOUBLE, 0.0::DOUBLE), ('Unburned', 'O', 0.0::DOUBLE, 0.0::DOUBLE))""")
-def baseline_rows(spark: SparkSession, sf: str) -> DataFrame:
+def add_baseline_(spark: SparkSession, sf: str) -> DataFrame:
     burned = plots(spark, sf).where("BurnTreat <> 'Unburned'")
     stats = with_rounded(mean_se(burned, ["BurnTreat", "Exclosure"], "Biomass"), "mean", "se")
     return add_baseline(
@@ -141,14 +141,14 @@ def baseline_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {PLOTS_SQL}
 SELECT l_orderkey, l_linenumber, 'Biomass' AS "name", "Biomass" AS "value" FROM plots
 UNION ALL SELECT l_orderkey, l_linenumber, 'Litter', "Litter" FROM plots""")
-def to_long(spark: SparkSession, sf: str) -> DataFrame:
+def longer_(spark: SparkSession, sf: str) -> DataFrame:
     df = plots(spark, sf).select("l_orderkey", "l_linenumber", "Biomass", "Litter")
     return longer(df, cols=["Biomass", "Litter"])
 
 
 @query("""SELECT c_custkey, m."name", CASE m."name" WHEN 'Status_1' THEN c_mktsegment ELSE c_name END AS "value"
 FROM customer, (VALUES ('Status_1'), ('Status_2')) m("name")""")
-def to_long_prefix(spark: SparkSession, sf: str) -> DataFrame:
+def longer_prefix_(spark: SparkSession, sf: str) -> DataFrame:
     df = load(spark, sf, "customer").select(
         "c_custkey", F.col("c_mktsegment").alias("Status_1"), F.col("c_name").alias("Status_2"))
     return longer(df, prefix="Status_")
@@ -176,7 +176,7 @@ FROM plots WHERE "Year" BETWEEN 1999 AND 2001 GROUP BY ALL"""
 
 
 @query(_COVER_LONG_SQL)
-def to_long_regex(spark: SparkSession, sf: str) -> DataFrame:
+def longer_regex_(spark: SparkSession, sf: str) -> DataFrame:
     wide = _cover_by_year(spark, sf)
     return longer(wide, cols=cols_with_prefix(wide, "percent_cover", "plot_area"),
                   names_pattern="(.*)_(.*)", names_to=["Measurement", "Year"])
@@ -185,8 +185,8 @@ def to_long_regex(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {PLOTS_SQL}
 SELECT "Plot", CAST("Year" AS VARCHAR) AS "Year", max("Cover") AS "percent_cover", max("Biomass") AS "plot_area"
 FROM plots WHERE "Year" BETWEEN 1999 AND 2001 GROUP BY ALL""")
-def to_wide(spark: SparkSession, sf: str) -> DataFrame:
-    return wider(to_long_regex(spark, sf), ["Plot", "Year"], "Measurement", "value",
+def wider_(spark: SparkSession, sf: str) -> DataFrame:
+    return wider(longer_regex_(spark, sf), ["Plot", "Year"], "Measurement", "value",
                  ["percent_cover", "plot_area"])
 
 
@@ -194,7 +194,7 @@ def to_wide(spark: SparkSession, sf: str) -> DataFrame:
 s AS (SELECT "Plot", "Year", "Tag", max("Status") AS st FROM individuals GROUP BY ALL)
 SELECT "Plot", "Tag", max(CASE WHEN "Year" = 2000 THEN st END) AS "Status_2000",
   max(CASE WHEN "Year" = 2001 THEN st END) AS "Status_2001" FROM s GROUP BY ALL""")
-def to_wide_prefixed(spark: SparkSession, sf: str) -> DataFrame:
+def wider_prefixed_(spark: SparkSession, sf: str) -> DataFrame:
     df = individuals(spark, sf).groupBy("Plot", "Tag", "Year").agg(F.max("Status").alias("st"))
     return wider(df, ["Plot", "Tag"], "Year", "st", [2000, 2001], prefix="Status_")
 
@@ -204,7 +204,7 @@ SELECT "BurnTreat", 'Biomass' AS "variable", {sql_rounded('avg("Biomass")')} AS
   {sql_rounded('stddev_samp("Biomass")')} AS "sd" FROM plots GROUP BY "BurnTreat"
 UNION ALL SELECT "BurnTreat", 'l_tax', {sql_rounded('avg(l_tax)')}, {sql_rounded('stddev_samp(l_tax)')}
 FROM plots GROUP BY "BurnTreat" """)
-def to_long_values(spark: SparkSession, sf: str) -> DataFrame:
+def longer_values_(spark: SparkSession, sf: str) -> DataFrame:
     wide = summarise_across(plots(spark, sf), ["BurnTreat"], ["Biomass", "l_tax"])
     return with_rounded(longer_values(wide, ["BurnTreat"]), "mean", "sd")
 
@@ -212,7 +212,7 @@ def to_long_values(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {SENSORS_SQL}
 SELECT event_id, split_part(code, '_', 2) AS "Plot", CASE WHEN "Depth" IS NOT NULL THEN split_part(code, '_', 3) END AS "Depth"
 FROM (SELECT event_id, "Depth", 'VWC_' || "Plot" || CASE WHEN "Depth" IS NULL THEN '' ELSE '_' || "Depth" END AS code FROM sensors)""")
-def split_names(spark: SparkSession, sf: str) -> DataFrame:
+def separate_(spark: SparkSession, sf: str) -> DataFrame:
     depth = F.coalesce(F.concat(F.lit("_"), F.col("Depth")), F.lit(""))
     df = sensors(spark, sf).select(
         "event_id", F.concat(F.lit("VWC_"), F.col("Plot").cast("string"), depth).alias("code"))

@@ -21,7 +21,7 @@ s AS (SELECT avg("Biomass") FILTER ("Exclosure" = 'F') AS m1, avg("Biomass") FIL
 SELECT {sql_rounded('m1')} AS "mean_1", {sql_rounded('m2')} AS "mean_2",
   {sql_rounded('(m1 - m2) / sqrt(a + b)')} AS "t",
   {sql_rounded('(a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1))', 4)} AS "df" FROM s""")
-def welch_t_test(spark: SparkSession, sf: str) -> DataFrame:
+def welch_t_(spark: SparkSession, sf: str) -> DataFrame:
     test = welch_t(plots(spark, sf), "Biomass", F.col("Exclosure") == "F")
     test = with_rounded(test, "mean_1", "mean_2", "t")
     return with_rounded(test, "df", digits=4).select("mean_1", "mean_2", "t", "df")
@@ -39,7 +39,7 @@ SELECT b AS "BurnTreat", {sql_rounded('a', 4)} AS "intercept", {sql_rounded('k',
   {sql_rounded('s / sqrt(sxx)')} AS "slope_se", {sql_rounded('k / (s / sqrt(sxx))', 4)} AS "slope_t",
   {sql_rounded('s * sqrt(1.0 / n + xm * xm / sxx)', 5)} AS "intercept_se",
   {sql_rounded('r2', 8)} AS "r_squared", {sql_rounded('s', 4)} AS "sigma" FROM l""")
-def simple_regression(spark: SparkSession, sf: str) -> DataFrame:
+def ols_simple_(spark: SparkSession, sf: str) -> DataFrame:
     digits = {"intercept": 4, "slope": 5, "slope_se": 6, "slope_t": 4, "intercept_se": 5,
               "r_squared": 8, "sigma": 4}
     fit = ols(plots(spark, sf), "Cover", "Biomass", by=["BurnTreat"])
@@ -50,7 +50,7 @@ def simple_regression(spark: SparkSession, sf: str) -> DataFrame:
 g AS (SELECT *, lo + (hi - lo) * i / 79.0::DOUBLE AS x FROM l, (SELECT unnest(range(80)) AS i))
 SELECT b AS "BurnTreat", {sql_rounded('x')} AS "x", {sql_rounded('a + k * x', 3)} AS "fit",
   {sql_rounded('s * sqrt(1.0 / n + (x - xm) * (x - xm) / sxx)', 4)} AS "se" FROM g""")
-def regression_band(spark: SparkSession, sf: str) -> DataFrame:
+def fit_band_(spark: SparkSession, sf: str) -> DataFrame:
     band = fit_band(plots(spark, sf), "Cover", "Biomass", n=80, by=["BurnTreat"])
     return band.select("BurnTreat", rounded("x").alias("x"), rounded("fit", 3).alias("fit"),
                        rounded("se", 4).alias("se"))
@@ -208,7 +208,7 @@ def linear_coefficients(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_CELLS_SQL}
 SELECT b AS "BurnTreat", {sql_rounded('avg(m)')} AS "emmean", {sql_rounded('sqrt(any_value(s2) * sum(1 / n)) / count(*)')} AS "se"
 FROM c, s GROUP BY b""")
-def marginal_means(spark: SparkSession, sf: str) -> DataFrame:
+def emmeans_(spark: SparkSession, sf: str) -> DataFrame:
     fit = linear_model(plots(spark, sf), "Biomass", crossed("BurnTreat", "Drought"))
     return with_rounded(fit.emmeans(["BurnTreat"]), "emmean", "se").select(
         "BurnTreat", "emmean", "se")
@@ -218,7 +218,7 @@ def marginal_means(spark: SparkSession, sf: str) -> DataFrame:
 e AS (SELECT b, avg(m) AS m, any_value(s2) * sum(1 / n) / 4 AS v FROM c, s GROUP BY b)
 SELECT x.b || ' - ' || y.b AS "contrast", {sql_rounded('x.m - y.m')} AS "estimate", {sql_rounded('sqrt(x.v + y.v)')} AS "se",
   {sql_rounded('(x.m - y.m) / sqrt(x.v + y.v)', 5)} AS "t_ratio" FROM e x JOIN e y ON x.b < y.b""")
-def pairwise_contrasts(spark: SparkSession, sf: str) -> DataFrame:
+def pairwise_(spark: SparkSession, sf: str) -> DataFrame:
     fit = linear_model(plots(spark, sf), "Biomass", crossed("BurnTreat", "Drought"))
     pairs = with_rounded(fit.pairwise(["BurnTreat"]), "estimate", "se")
     return with_rounded(pairs, "t_ratio", digits=5).select("contrast", "estimate", "se", "t_ratio")
@@ -230,7 +230,7 @@ g AS (SELECT 'BurnTreat' AS term, b AS l, sum(n) AS n, sum(n * m) / sum(n) AS m
 SELECT x.term AS "term", y.l || '-' || x.l AS "comparison", {sql_rounded('y.m - x.m')} AS "diff",
   {sql_rounded('sqrt(s2 / 2 * (1 / x.n + 1 / y.n))')} AS "se"
 FROM g x JOIN g y ON x.term = y.term AND x.l < y.l, s""")
-def tukey_differences(spark: SparkSession, sf: str) -> DataFrame:
+def tukey_hsd_(spark: SparkSession, sf: str) -> DataFrame:
     fit = linear_model(plots(spark, sf), "Biomass", crossed("BurnTreat", "Drought"))
     return with_rounded(fit.tukey_hsd(["BurnTreat", "Drought"]), "diff", "se").select(
         "term", "comparison", "diff", "se")
@@ -245,7 +245,7 @@ f AS (SELECT count(*) AS n, count(*) - 6 AS rdf, 2 * sum(CASE WHEN y > 0 THEN y
 @query(f"""WITH {_POISSON_SQL}
 SELECT CAST(n AS BIGINT) AS "n", CAST(rdf AS BIGINT) AS "df_resid", {sql_rounded('deviance', 3)} AS "deviance",
   {sql_rounded('phi')} AS "dispersion" FROM f""")
-def quasi_poisson_fit(spark: SparkSession, sf: str) -> DataFrame:
+def glm_quasipoisson_(spark: SparkSession, sf: str) -> DataFrame:
     stats = glm_quasipoisson(plots(spark, sf), "Biomass", crossed("BurnTreat", "Drought")).fit_stats()
     return with_rounded(with_rounded(stats, "dispersion"), "deviance", digits=3)
 
@@ -254,7 +254,7 @@ def quasi_poisson_fit(spark: SparkSession, sf: str) -> DataFrame:
 c AS (SELECT b, d, count(*)::DOUBLE AS n, any_value(mu) AS mu FROM v GROUP BY b, d)
 SELECT b AS "BurnTreat", {sql_rounded('avg(ln(mu))')} AS "emmean",
   {sql_rounded('sqrt(any_value(phi) * sum(1 / (c.n * mu))) / count(*)', 8)} AS "se" FROM c, f GROUP BY b""")
-def quasi_poisson_means(spark: SparkSession, sf: str) -> DataFrame:
+def glm_quasipoisson_emmeans_(spark: SparkSession, sf: str) -> DataFrame:
     fit = glm_quasipoisson(plots(spark, sf), "Biomass", crossed("BurnTreat", "Drought"))
     means = with_rounded(fit.emmeans(["BurnTreat"]), "emmean")
     return with_rounded(means, "se", digits=8).select("BurnTreat", "emmean", "se")
@@ -264,13 +264,13 @@ def quasi_poisson_means(spark: SparkSession, sf: str) -> DataFrame:
 v AS (SELECT "Biomass" AS y, avg("Biomass") OVER (PARTITION BY "BurnTreat") AS mu, avg("Biomass") OVER () AS m0 FROM plots),
 f AS (SELECT 2 * sum(y * ln(mu / m0)) AS lr, sum((y - mu) * (y - mu) / mu) / (count(*) - 3) AS phi FROM v)
 SELECT 'BurnTreat' AS "term", {sql_rounded('lr / phi', 4)} AS "lr_chisq", CAST(2 AS BIGINT) AS "df" FROM f""")
-def quasi_poisson_anova(spark: SparkSession, sf: str) -> DataFrame:
+def glm_quasipoisson_anova_(spark: SparkSession, sf: str) -> DataFrame:
     fit = glm_quasipoisson(plots(spark, sf), "Biomass", crossed("BurnTreat"))
     return with_rounded(fit.anova(3), "lr_chisq", digits=4).select("term", "lr_chisq", "df")
 
 
 @query()
-def quasi_poisson_factorial(spark: SparkSession, sf: str) -> DataFrame:
+def glm_quasipoisson_factorial_(spark: SparkSession, sf: str) -> DataFrame:
     """Refits without an interaction have no closed form."""
     fit = glm_quasipoisson(plots(spark, sf), "Biomass", crossed("Year", "Drought", "BurnTreat"))
     return with_rounded(fit.anova(3), "lr_chisq", digits=3).select("term", "lr_chisq", "df")
@@ -303,7 +303,7 @@ q AS (SELECT *, sqrt((sb - a * sxb) / (n * sx)) AS ea,
     for y, x, b, e in [("Biomass", "Severity", "a", "ea"), ("Cover", "Biomass", "cb", "ecb"),
                        ("Cover", "Severity", "cx", "ecx"), ("l_tax", "Biomass", "tb", "etb"),
                        ("l_tax", "Severity", "tx", "etx")]))
-def path_coefficients(spark: SparkSession, sf: str) -> DataFrame:
+def path_model_(spark: SparkSession, sf: str) -> DataFrame:
     fit = path_model(plots(spark, sf), EQUATIONS).coefficients().where("op = '~'")
     return with_rounded(fit, "estimate", "se", digits=7).select("lhs", "rhs", "estimate", "se")
 
@@ -341,7 +341,7 @@ def _balanced(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_BALANCED_SQL}
 SELECT CAST(2 * k AS BIGINT) AS "n", CAST(k AS BIGINT) AS "n_groups", {sql_rounded('(msg - mse) / 2', 5)} AS "group_variance",
   {sql_rounded('mse', 5)} AS "residual_variance" FROM v""")
-def mixed_variances(spark: SparkSession, sf: str) -> DataFrame:
+def lmm_(spark: SparkSession, sf: str) -> DataFrame:
     fit = lmm(_balanced(spark, sf), "y", crossed("Exclosure"), "Plot", contrasts="sum")
     return with_rounded(fit.variances(), "group_variance", "residual_variance", digits=5).select(
         "n", "n_groups", "group_variance", "residual_variance")
@@ -351,14 +351,14 @@ def mixed_variances(spark: SparkSession, sf: str) -> DataFrame:
 SELECT '(Intercept)' AS "term", {sql_rounded('gm')} AS "estimate", {sql_rounded('sqrt(msg / (2 * k))', 5)} AS "std_error",
   {sql_rounded('k - 1', 1)} AS "df" FROM v
 UNION ALL SELECT 'Exclosure1', {sql_rounded('gd / 2')}, {sql_rounded('sqrt(mse / (2 * k))', 5)}, {sql_rounded('k - 1', 1)} FROM v""")
-def mixed_coefficients(spark: SparkSession, sf: str) -> DataFrame:
+def satterthwaite_(spark: SparkSession, sf: str) -> DataFrame:
     fit = lmm(_balanced(spark, sf), "y", crossed("Exclosure"), "Plot", contrasts="sum")
     rows = with_rounded(with_rounded(fit.coefficients(), "estimate"), "std_error", digits=5)
     return with_rounded(rows, "df", digits=1).select("term", "estimate", "std_error", "df")
 
 
 @query()
-def mixed_wald(spark: SparkSession, sf: str) -> DataFrame:
+def lmm_wald_(spark: SparkSession, sf: str) -> DataFrame:
     """Unbalanced rows, one intercept per supplier."""
     fit = lmm(plots(spark, sf), "Biomass", crossed("BurnTreat", "Exclosure", "Drought"),
               "l_suppkey", contrasts="sum")
@@ -366,7 +366,7 @@ def mixed_wald(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query()
-def mixed_contrasts(spark: SparkSession, sf: str) -> DataFrame:
+def lmm_contrasts_(spark: SparkSession, sf: str) -> DataFrame:
     fit = lmm(plots(spark, sf), "Biomass", crossed("BurnTreat", "Exclosure"), "l_suppkey",
               contrasts="sum")
     return with_rounded(fit.pairwise(["BurnTreat", "Exclosure"]), "estimate", "se", digits=4).select(
@@ -379,14 +379,14 @@ def _survival(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query()
-def binomial_mixed(spark: SparkSession, sf: str) -> DataFrame:
+def glmm_binomial_(spark: SparkSession, sf: str) -> DataFrame:
     fit = glmm_binomial(_survival(spark, sf), "Survival", crossed("BurnTreat", "Drought"), "Tag")
     return with_rounded(fit.coefficients(), "estimate", "std_error", digits=3).select(
         "term", "estimate", "std_error")
 
 
 @query()
-def binomial_mixed_wald(spark: SparkSession, sf: str) -> DataFrame:
+def glmm_binomial_wald_(spark: SparkSession, sf: str) -> DataFrame:
     fit = glmm_binomial(_survival(spark, sf), "Survival", terms(crossed("BurnTreat", "Drought"), "Year"),
                         "Tag", covariates=["Year"], contrasts="sum")
     return with_rounded(fit.anova(3), "chisq", digits=2).select("term", "chisq", "df")

@@ -77,7 +77,7 @@ def across_summary(spark: SparkSession, sf: str) -> DataFrame:
     f"""SELECT "BurnTreat", '{c}' AS "variable",
   printf('%.2f', avg("{c}")) || ' ± ' || printf('%.2f', stddev_samp("{c}")) AS "mean_sd"
 FROM plots GROUP BY "BurnTreat" """ for c in ("Biomass", "Cover", "Litter")))
-def mean_sd_texts(spark: SparkSession, sf: str) -> DataFrame:
+def mean_sd_table_(spark: SparkSession, sf: str) -> DataFrame:
     return mean_sd_table(plots(spark, sf), ["BurnTreat"], ["Biomass", "Cover", "Litter"])
 
 
@@ -86,7 +86,7 @@ def mean_sd_texts(spark: SparkSession, sf: str) -> DataFrame:
     f"""SELECT '{c}' AS "variable", CAST(count("{c}") AS DOUBLE) AS "nobs",
   CAST(count(*) - count("{c}") AS DOUBLE) AS "missing", {sql_rounded(f'avg("{c}")', 4)} AS "mean",
   {sql_rounded(f'var_samp("{c}")', 2)} AS "variance" FROM plots""" for c in ACROSS))
-def variable_table(spark: SparkSession, sf: str) -> DataFrame:
+def var_table_(spark: SparkSession, sf: str) -> DataFrame:
     stats = var_table(plots(spark, sf), ACROSS)
     return with_rounded(with_rounded(stats, "mean", digits=4), "variance", digits=2)
 
@@ -105,13 +105,13 @@ SELECT "BurnTreat", "Drought", {sql_rounded('least(min(v) FILTER (inside), q1)')
   {sql_rounded('greatest(max(v) FILTER (inside), q3)')} AS "upper", CAST(count(*) AS BIGINT) AS "n",
   CAST(count(*) FILTER (NOT inside) AS BIGINT) AS "n_outliers"
 FROM f GROUP BY "BurnTreat", "Drought", q1, md, q3""")
-def box_summary(spark: SparkSession, sf: str) -> DataFrame:
+def box_stats_(spark: SparkSession, sf: str) -> DataFrame:
     stats = box_stats(sensors(spark, sf), ["BurnTreat", "Drought"], "VWC")
     return with_rounded(stats, "lower", "q1", "median", "q3", "upper")
 
 
 @query(_BOX_SQL + """ SELECT "BurnTreat", "Drought", v AS "VWC" FROM f WHERE NOT inside""")
-def box_outlier_rows(spark: SparkSession, sf: str) -> DataFrame:
+def box_outliers_(spark: SparkSession, sf: str) -> DataFrame:
     return box_outliers(sensors(spark, sf), ["BurnTreat", "Drought"], "VWC")
 
 
@@ -119,7 +119,7 @@ def box_outlier_rows(spark: SparkSession, sf: str) -> DataFrame:
 SELECT "BurnTreat", CAST(count(*) AS BIGINT) AS "n", """ + ", ".join(
     f"""{sql_rounded(f'quantile_cont("Cover", {p})', 4)} AS "q{i}" """
     for i, p in enumerate((0.05, 0.25, 0.5, 0.75, 0.95))) + """FROM plots GROUP BY "BurnTreat" """)
-def quantiles_exact(spark: SparkSession, sf: str) -> DataFrame:
+def exact_quantiles_(spark: SparkSession, sf: str) -> DataFrame:
     stats = exact_quantiles(plots(spark, sf), ["BurnTreat"], "Cover", [0.05, 0.25, 0.5, 0.75, 0.95])
     return with_rounded(stats, *[f"q{i}" for i in range(5)], digits=4)
 
@@ -131,7 +131,7 @@ def quantiles_exact(spark: SparkSession, sf: str) -> DataFrame:
 SELECT a."Species", a."Type", a."Status", CAST(count(i."Plot") AS BIGINT) AS "n" FROM a
 LEFT JOIN individuals i ON a."Species" = i."Species" AND a."Type" = i."Type" AND a."Status" = i."Status"
 GROUP BY ALL""")
-def contingency_table(spark: SparkSession, sf: str) -> DataFrame:
+def contingency_(spark: SparkSession, sf: str) -> DataFrame:
     return contingency(individuals(spark, sf), ["Species", "Type", "Status"],
                        levels={"Status": ["alive", "dead", "unknown"]})
 
@@ -140,7 +140,7 @@ def contingency_table(spark: SparkSession, sf: str) -> DataFrame:
   {sql_rounded('(o_totalprice - avg(o_totalprice) OVER ()) / stddev_samp(o_totalprice) OVER ()')} AS "price",
   {sql_rounded('(o_custkey - avg(o_custkey) OVER ()) / stddev_samp(o_custkey) OVER ()')} AS "customer"
 FROM orders""")
-def zscores(spark: SparkSession, sf: str) -> DataFrame:
+def zscore_(spark: SparkSession, sf: str) -> DataFrame:
     df = load(spark, sf, "orders").select(
         "o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("customer"))
     return with_rounded(zscore(df, ["price", "customer"]), "price", "customer")
@@ -153,7 +153,7 @@ SELECT CAST(h.b AS INTEGER) AS "Block", h."Year", CAST(s AS BIGINT) AS "survived
   {sql_rounded('s / k')} AS "proportion",
   {sql_rounded('CASE WHEN s <= k THEN sqrt((s / k) * (1 - s / k) / k) END')} AS "se"
 FROM h LEFT JOIN c ON h.b = c.b""")
-def proportions(spark: SparkSession, sf: str) -> DataFrame:
+def proportion_se_(spark: SparkSession, sf: str) -> DataFrame:
     df = individuals(spark, sf).where("Year >= 2000").withColumn(
         "Block", F.pmod("Plot", F.lit(3)))
     stats = proportion_se(df, ["Block", "Year"], "Tag", F.col("Status") == "alive", ["Block"],
@@ -165,12 +165,12 @@ def proportions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {INDIVIDUALS_SQL}
 SELECT "Plot", "Tag", "Year", CAST(count(*) AS BIGINT) AS "n" FROM individuals GROUP BY ALL HAVING count(*) > 1""")
-def repeated_keys(spark: SparkSession, sf: str) -> DataFrame:
+def duplicate_keys_(spark: SparkSession, sf: str) -> DataFrame:
     return duplicate_keys(individuals(spark, sf), ["Plot", "Tag", "Year"])
 
 
 @query(f"""WITH {PLOTS_SQL} SELECT DISTINCT "Plot", "BurnTreat", "Drought" FROM plots""")
-def unique_rows(spark: SparkSession, sf: str) -> DataFrame:
+def distinct_rows_(spark: SparkSession, sf: str) -> DataFrame:
     return distinct_rows(plots(spark, sf), ["Plot", "BurnTreat", "Drought"])
 
 
@@ -180,7 +180,7 @@ SELECT "Year", CAST(count(*) AS BIGINT) AS "n", CAST(count(*) FILTER ("Status" =
   CAST(count(*) FILTER ("Status" = 'dead') AS BIGINT) AS "dead",
   {sql_rounded('''count(*) FILTER ("Status" = 'dead') / count(*)''')} AS "dead_rate"
 FROM individuals GROUP BY "Year" """)
-def status_rates(spark: SparkSession, sf: str) -> DataFrame:
+def rates_(spark: SparkSession, sf: str) -> DataFrame:
     status = F.col("Status")
     stats = rates(individuals(spark, sf), ["Year"], {"alive": status == "alive", "dead": status == "dead"})
     return with_rounded(stats, "alive_rate", "dead_rate")
@@ -189,7 +189,7 @@ def status_rates(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {INDIVIDUALS_SQL}
 SELECT CAST(count(*) FILTER ("Status" IS NULL) AS BIGINT) AS "Status",
   CAST(count(*) FILTER ("Notes" IS NULL) AS BIGINT) AS "Notes" FROM individuals""")
-def missing_counts(spark: SparkSession, sf: str) -> DataFrame:
+def null_count_(spark: SparkSession, sf: str) -> DataFrame:
     return null_count(individuals(spark, sf), "Status", "Notes")
 
 
@@ -232,14 +232,14 @@ def entity_daily_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {INDIVIDUALS_SQL}
 SELECT "Plot", "Tag", "Year", min("Year") OVER (PARTITION BY "Plot", "Tag") AS "FirstYear" FROM individuals""")
-def first_year_seen(spark: SparkSession, sf: str) -> DataFrame:
+def first_seen_(spark: SparkSession, sf: str) -> DataFrame:
     return first_seen(individuals(spark, sf).select("Plot", "Tag", "Year"), ["Plot", "Tag"], "Year")
 
 
 @query(f"""WITH {INDIVIDUALS_SQL}
 SELECT DISTINCT * FROM (SELECT "Plot", "Tag", "Species", "Year", "Status" FROM individuals
   QUALIFY "Year" = min("Year") OVER (PARTITION BY "Plot", "Tag", "Species"))""")
-def earliest_group_rows(spark: SparkSession, sf: str) -> DataFrame:
+def earliest_rows_(spark: SparkSession, sf: str) -> DataFrame:
     df = individuals(spark, sf).select("Plot", "Tag", "Species", "Year", "Status")
     return earliest_rows(df, ["Plot", "Tag", "Species"], "Year")
 
@@ -247,6 +247,6 @@ def earliest_group_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {INDIVIDUALS_SQL}
 SELECT "Plot", "Tag", "Year", "Status" FROM individuals
 QUALIFY max(CASE WHEN "Year" = 2000 AND "Status" = 'alive' THEN 1 ELSE 0 END) OVER (PARTITION BY "Plot", "Tag") = 1""")
-def groups_with_any(spark: SparkSession, sf: str) -> DataFrame:
+def keep_groups_any_(spark: SparkSession, sf: str) -> DataFrame:
     df = individuals(spark, sf).select("Plot", "Tag", "Year", "Status")
     return keep_groups_any(df, ["Plot", "Tag"], (F.col("Year") == 2000) & (F.col("Status") == "alive"))
