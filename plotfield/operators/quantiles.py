@@ -67,11 +67,15 @@ def exact_quantiles(
         Window.unboundedPreceding, Window.currentRow)
     ranked = counted.withColumn("__cum", F.sum("__c").over(running))
 
+    def at_rank(rank: Column) -> Column:
+        found = F.min(F.when(F.col("__cum") >= rank, F.struct("__at", "__gap")))
+        missed = F.raise_error(F.lit("a rank fell outside its bracket"))
+        return F.when(found["__gap"].isNull(), found["__at"]).otherwise(missed)
+
     def chosen(p: float) -> Column:
         position = (F.col("n") - 1) * F.lit(float(p))
         base = F.floor(position)
-        lower = F.min(F.when(F.col("__cum") >= base + 1, F.col("__at")))
-        upper = F.min(F.when(F.col("__cum") >= F.ceil(position) + 1, F.col("__at")))
+        lower, upper = at_rank(base + 1), at_rank(F.ceil(position) + 1)
         return lower + (upper - lower) * F.first(position - base)
 
     return ranked.groupBy(*keys, "n").agg(

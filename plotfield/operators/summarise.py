@@ -11,7 +11,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plotfield.functions.missing import is_in, std_error, strict as strictly
+from plotfield.functions.missing import std_error, strict as strictly
 from plotfield.functions.text import mean_sd_text
 from plotfield.operators.joins import complete, grid, left_join
 from plotfield.operators.reshape import longer_values

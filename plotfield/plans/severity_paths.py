@@ -20,6 +20,7 @@ REDUCED = {COVER: [FIRE], SEEDLINGS: [COVER, FIRE], SURVIVAL: [COVER, FIRE]}
 
 A1, B1, B2 = (COVER, FIRE), (SEEDLINGS, FIRE), (SEEDLINGS, COVER)
 C1, C2, C3 = (SURVIVAL, FIRE), (SURVIVAL, COVER), (SURVIVAL, SEEDLINGS)
+# Names under which the effects are reported.
 FULL_EFFECTS = {
     "indirect_fire_to_seedlings": [[A1, B2]],
     "indirect_fire_to_survival_via_invasive": [[A1, C2]],

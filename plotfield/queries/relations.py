@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plotfield.functions import cols_with_prefix
@@ -15,6 +17,23 @@ from plotfield.queries.tables import (
     BURN_SQL, DROUGHT_SQL, INDIVIDUALS_SQL, PLOTS_SQL, SENSORS_SQL, individuals, load, plots,
     sensors, with_treatments,
 )
+from plotfield.session import shared_folder
+from plotfield.sources import read_table
+
+
+@query("""SELECT CAST(o_orderkey AS INTEGER) AS "Plot #", CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS "Status",
+  CASE WHEN o_custkey % 7 <> 0 THEN o_totalprice END AS "Cover" FROM orders""")
+def read_table_(spark: SparkSession, sf: str) -> DataFrame:
+    """A delimited sheet with padded fields, ``NA`` marks and stray text, read back."""
+    path = f"{shared_folder(spark)}/sheet-{uuid.uuid4().hex}"
+    load(spark, sf, "orders").select(
+        F.col("o_orderkey").alias(" Plot # "),
+        F.when(F.col("o_orderstatus") == "P", "NA").otherwise(
+            F.concat("o_orderstatus", F.lit(" "))).alias("Status "),
+        F.when(F.pmod("o_custkey", F.lit(7)) == 0, "#DIV/0!").otherwise(
+            F.col("o_totalprice").cast("string")).alias("Cover"),
+    ).write.csv(path, header=True, ignoreTrailingWhiteSpace=False)
+    return read_table(spark, path, "`Plot #` int, Status string, Cover double")
 
 
 @query(f"""WITH {PLOTS_SQL}

@@ -205,6 +205,18 @@ def linear_coefficients(spark: SparkSession, sf: str) -> DataFrame:
         "term", "estimate", "std_error")
 
 
+@query(f"""WITH {_CELLS_SQL},
+t AS (SELECT sum(n) AS n, sum(ss) AS r, sum(n) - 6 AS rdf FROM c),
+a AS (SELECT var_pop("Biomass") * count(*) AS total FROM plots)
+SELECT CAST(n AS BIGINT) AS "n", CAST(rdf AS BIGINT) AS "df_resid", {sql_rounded('sqrt(r / rdf)')} AS "sigma",
+  {sql_rounded('1 - r / total', 8)} AS "r_squared", {sql_rounded('(total - r) / 5 / (r / rdf)', 5)} AS "f_value" FROM t, a""")
+def linear_fit(spark: SparkSession, sf: str) -> DataFrame:
+    stats = linear_model(plots(spark, sf), "Biomass", crossed("BurnTreat", "Drought")).fit_stats()
+    return stats.select("n", "df_resid", rounded("sigma").alias("sigma"),
+                        rounded("r_squared", 8).alias("r_squared"),
+                        rounded("f_value", 5).alias("f_value"))
+
+
 @query(f"""WITH {_CELLS_SQL}
 SELECT b AS "BurnTreat", {sql_rounded('avg(m)')} AS "emmean", {sql_rounded('sqrt(any_value(s2) * sum(1 / n)) / count(*)')} AS "se"
 FROM c, s GROUP BY b""")
