@@ -13,12 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations, product
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import NumericType
 
 from plotfield.session import settle
@@ -130,6 +131,20 @@ class Design:
                 out[:, c] *= cells[v].to_numpy(float)
         return out
 
+    def coded(self, choice: Mapping[str, int]) -> Column:
+        """Factor part of a design column as a Spark expression over the factor columns."""
+        value = F.lit(1.0)
+        for f, j in choice.items():
+            pairs = zip(self.levels[f], self.codings[f][:, j])
+            codes = [F.lit(x) for level, code in pairs for x in (level, float(code))]
+            value = value * F.element_at(F.create_map(*codes), F.col(f))
+        return value
+
+    def expressions(self) -> list[Column]:
+        """Design columns as Spark expressions over the predictor columns."""
+        return [reduce(lambda value, v: value * F.col(v), monomial, self.coded(choice))
+                for choice, monomial in self.parts]
+
     def centring(self, at: Mapping[str, float]) -> np.ndarray:
         """Matrix ``C`` with ``X @ C`` the design over covariates centred at ``at``.
 

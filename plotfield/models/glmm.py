@@ -85,7 +85,7 @@ class _Spread:
 
     def __init__(self, cells: DataFrame, design: Design) -> None:
         self.k = len(design.labels)
-        columns = [c.alias(f"__x{i}") for i, c in enumerate(design_expressions(design))]
+        columns = [c.alias(f"__x{i}") for i, c in enumerate(design.expressions())]
         self.rows = settle(cells.select("__g", "__n", "__s", *columns))
         self.modes = settle(self.rows.select("__g").distinct().withColumn("__u", F.lit(0.0)))
         self.groups = self.modes.count()
@@ -150,21 +150,6 @@ class _Spread:
         return float(found[0]), np.array(found[1:], dtype=float)
 
 
-def design_expressions(design: Design) -> list[Column]:
-    """Design columns as Spark expressions over the predictor columns."""
-    out = []
-    for choice, monomial in design.parts:
-        value = F.lit(1.0)
-        for f, j in choice.items():
-            codes = [F.lit(x) for level, code in zip(design.levels[f], design.codings[f][:, j])
-                     for x in (level, float(code))]
-            value = value * F.element_at(F.create_map(*codes), F.col(f))
-        for v in monomial:
-            value = value * F.col(v)
-        out.append(value)
-    return out
-
-
 def _minimise(evaluate: Callable, start: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Quasi-Newton descent with backtracking, on well-scaled coordinates."""
     x, inverse = start.copy(), np.eye(len(start))

@@ -13,9 +13,7 @@ from collections.abc import Mapping, Sequence
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from plotfield.models import posthoc
@@ -27,22 +25,25 @@ from plotfield.models.design import (
 from plotfield.models.linear import independent_columns
 from plotfield.session import settle
 
-MAX_SIZES = 2_000
-FLUSH_SIZES = 2_000
+# Numbers held at once: on the driver for the search, and in a task that adds products up.
+MAX_ENTRIES = 1_000_000
 
 
 def _group_products(sums: DataFrame, group: str, frame: Frame, shift: float) -> DataFrame:
     """Per group size: number of groups and summed outer products of group column sums.
 
-    A group arrives as its cells' sums, at most one entry per factor combination, however
-    many rows it has.
+    Column sums are plain grouped sums, combined on the map side, so a group of any size
+    arrives as one row of fixed width.
     """
-    design, factors = frame.design, frame.design.factors
-    q = len(design.monomials)
-    which = [design.monomials.index(m) if m else -1 for _, m in design.parts]
-    fields = ["__n", *[f"__s{i}" for i in range(q + 1)]]
-    packed = sums.groupBy(group).agg(
-        F.collect_list(F.struct(*factors, *fields)).alias("cells")).select("cells")
+    design = frame.design
+    monomials = design.monomials
+    measured = {m: F.col(f"__s{i}") for i, m in enumerate(monomials)}
+    y = F.col(f"__s{len(monomials)}") - shift * F.col("__n")
+    columns = [design.coded(choice) * (measured[m] if m else F.col("__n"))
+               for choice, m in design.parts]
+    totals = sums.groupBy(group).agg(
+        F.sum("__n").alias("size"),
+        *[F.sum(c).alias(f"__z{i}") for i, c in enumerate([*columns, y])]).drop(group)
 
     def emit(by_size):
         return pa.RecordBatch.from_pydict({
@@ -55,33 +56,23 @@ def _group_products(sums: DataFrame, group: str, frame: Frame, shift: float) ->
     def per_partition(batches):
         by_size: dict[int, list] = {}
         for batch in batches:
-            lists = batch.column(0)
-            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-            if not len(counts):
+            if not batch.num_rows:
                 continue
-            structs = lists.flatten()
-            flat = pd.DataFrame({
-                name: structs.field(name).to_pandas() for name in [*factors, *fields]})
-            fixed = design.factor_part(flat)
-            columns = [flat[f"__s{w}"] if w >= 0 else flat["__n"] for w in which]
-            x = fixed * np.column_stack(columns)
-            y = flat[f"__s{q}"].to_numpy() - shift * flat["__n"].to_numpy()
-            starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-            z = np.add.reduceat(np.column_stack([x, y]), starts, axis=0)
-            sizes = np.rint(np.add.reduceat(flat["__n"].to_numpy(), starts)).astype(np.int64)
+            sizes = np.rint(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+            z = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
             for size in np.unique(sizes):
                 chosen = z[sizes == size]
                 entry = by_size.setdefault(int(size), [0, 0.0])
                 entry[0] += len(chosen)
                 entry[1] = entry[1] + chosen.T @ chosen
-            # Partial sums may be handed on at any time, which bounds the task's memory.
-            if len(by_size) > FLUSH_SIZES:
-                yield emit(by_size)
-                by_size = {}
+                # Partial sums may be handed on at any time, which bounds the task's memory.
+                if len(by_size) * z.shape[1] ** 2 > MAX_ENTRIES:
+                    yield emit(by_size)
+                    by_size = {}
         if by_size:
             yield emit(by_size)
 
-    parts = packed.mapInArrow(per_partition, "size long, groups long, products array<double>")
+    parts = totals.mapInArrow(per_partition, "size long, groups long, products array<double>")
     # Entry 0 carries the group count, the rest the products.
     entries = parts.select("size", F.posexplode(
         F.concat(F.array(F.col("groups").cast("double")), F.col("products"))))
@@ -91,9 +82,9 @@ def _group_products(sums: DataFrame, group: str, frame: Frame, shift: float) ->
 class _Products:
     """Weighted sums over group sizes, from a local table or, if there are many sizes, Spark."""
 
-    def __init__(self, entries: DataFrame, width: int, max_sizes: int) -> None:
+    def __init__(self, entries: DataFrame, width: int, max_entries: int) -> None:
         self._width = width
-        local = bounded_pandas(entries, max_sizes * (width * width + 1))
+        local = bounded_pandas(entries, max_entries)
         if local is None:
             self._entries, self._local = settle(entries), None
         else:
@@ -293,7 +284,7 @@ def wald_table(spark, design, kept, beta, cov) -> DataFrame:
 def lmm(
     df: DataFrame, y: str, fixed: Sequence[Term], group: str, covariates: Sequence[str] = (),
     contrasts: str = "treatment", levels: Mapping[str, Sequence[Any]] | None = None,
-    max_cells: int = MAX_CELLS, max_sizes: int = MAX_SIZES,
+    max_cells: int = MAX_CELLS, max_entries: int = MAX_ENTRIES,
 ) -> MixedFit:
     """Random intercept per ``group``; fixed terms as in a linear model."""
     source = model_rows(df, y, fixed, covariates, extra=[group])
@@ -303,7 +294,7 @@ def lmm(
     shift = float(frame.triangle[0, k] / frame.triangle[0, 0])
     sums = cell_sums(source, [f"__{group}"])
     entries = _group_products(sums, f"__{group}", frame, shift)
-    products = _Products(entries, k + 1, max_sizes)
+    products = _Products(entries, k + 1, max_entries)
     if products._local is not None:
         n_groups = int(round(products._local[1].sum()))
     else:

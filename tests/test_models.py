@@ -312,7 +312,7 @@ def test_mixed_model_matches_dense_reml(data, frame, covariates):
 
 def test_mixed_model_many_group_sizes_stay_on_spark(frame):
     here = lmm(frame, "y", crossed("b", "d"), "g", contrasts="sum")
-    there = lmm(frame, "y", crossed("b", "d"), "g", contrasts="sum", max_cells=2, max_sizes=0)
+    there = lmm(frame, "y", crossed("b", "d"), "g", contrasts="sum", max_cells=2, max_entries=0)
     assert there.ratio == pytest.approx(here.ratio, rel=1e-6) and there.n_groups == here.n_groups == 23
     assert np.allclose(here.beta, there.beta)
 
