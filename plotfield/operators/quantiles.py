@@ -47,9 +47,9 @@ def exact_quantiles(
         for i, pair in enumerate(brackets)
         for whole, at, name in zip(("__min", "__max"), (2 * i, 2 * i + 1), pair)
     ]
-    limits = limits.select(*keys, "n", *bounds)
+    limits = settle(limits.select(*keys, "n", *bounds))
     if keys:
-        placed = left_join(rows, settle(limits), keys)
+        placed = left_join(rows, limits, keys)
     else:
         placed = rows.withColumns(
             {c: limits.select(F.col(c)).scalar() for c in limits.columns})
@@ -86,11 +86,11 @@ def _fenced(df: DataFrame, by: Sequence[str], value: str, coef: float):
     keys = list(by)
     boxes = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     reach = coef * (F.col("q3") - F.col("q1"))
-    boxes = boxes.withColumns({"__lo": F.col("q1") - reach, "__hi": F.col("q3") + reach})
+    boxes = settle(boxes.withColumns({"__lo": F.col("q1") - reach, "__hi": F.col("q3") + reach}))
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where(
         F.col("__v").isNotNull())
     if keys:
-        return left_join(rows, settle(boxes), keys)
+        return left_join(rows, boxes, keys)
     names = ("q1", "median", "q3", "__lo", "__hi")
     return rows.withColumns({c: boxes.select(F.col(c)).scalar() for c in names})
 
