@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, quality_rules, token_attribution
+from . import (byte_bpe, decontaminate, html_extract, line_dedup, ngram_quality, order_minhash, paragraph_dedup,
+               quality_rules, suffix_repeats, token_attribution)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query()
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of the quality rules for every document."""
@@ -34,6 +41,43 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "base_failed", "kept")
 
 
+@query()
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the bytes of repeated strings of 200 bytes."""
+    left = suffix_repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(decontaminate.SQL)
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(line_dedup.SQL)
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many sites carry."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "text", "n_removed")
+
+
+@query()
+def op6_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and verdict for every document, from a model of all trusted ones."""
+    return ngram_quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the paragraphs that repeat an earlier one."""
+    return paragraph_dedup.paragraph_dedup(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of the bytes decoded from them."""
