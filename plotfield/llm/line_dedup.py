@@ -75,16 +75,16 @@ def line_dedup(df: DataFrame, key: str = "doc_id", site: str = "source", text: s
 #: The same decisions over a table ``documents``, for comparison.
 SQL = f"""
 WITH lines AS (
-  SELECT doc_id, source, generate_subscripts(parts, 1) AS at, unnest(parts) AS line
+  SELECT doc_id, source, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line
   FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents)
 ), keyed AS (
-  SELECT doc_id, source, at, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM lines
+  SELECT doc_id, source, pos, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM lines
 ), spread AS (
-  SELECT k, min((doc_id, at)) AS first FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT source) >= {MIN_SITES}
+  SELECT k, min((doc_id, pos)) AS first FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT source) >= {MIN_SITES}
 ), judged AS (
-  SELECT doc_id, at, line, spread.k IS NOT NULL AND (doc_id, at) <> first AS gone FROM keyed LEFT JOIN spread USING (k)
+  SELECT doc_id, pos, line, spread.k IS NOT NULL AND (doc_id, pos) <> first AS gone FROM keyed LEFT JOIN spread USING (k)
 )
-SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '') AS text,
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text,
        CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed
 FROM judged GROUP BY doc_id
 """
