@@ -50,6 +50,20 @@ def count_distinct_with_missing(c: Column | str) -> Column:
     return F.count_distinct(column) + F.max(column.isNull().cast("long"))
 
 
+#: A decimal number with optional sign, fraction and exponent, and blanks around it.
+DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def to_number(c: Column | str, to: str = "double") -> Column:
-    """Numeric value, or missing where the text is not a number."""
-    return _column(c).try_cast(to)
+    """Numeric value, or missing where the text is not a number.
+
+    Casts alone also read ``12D``, ``12f``, ``NaN`` and ``Infinity``, which are no measurements.
+    """
+    text = _column(c).cast("string")
+    return F.when(text.rlike(DECIMAL), F.trim(text).try_cast(to))
+
+
+def observed(c: Column | str) -> Column:
+    """The number, or missing where it is NaN."""
+    column = _column(c)
+    return F.when(~F.isnan(column.cast("double")), column)

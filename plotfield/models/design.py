@@ -22,12 +22,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import NumericType
 
-from plotfield.session import settle
-
-MAX_CELLS = 100_000
-MAX_COLUMNS = 2_000
-TREE_WIDTH = 64
-
 Term = tuple[str, ...]
 
 
@@ -91,8 +85,6 @@ class Design:
                 self.labels.append(":".join(
                     f"{v}{self._suffix(v, choice[v])}" if v in choice else v for v in term))
                 owner.append(i)
-        if len(self.labels) > MAX_COLUMNS:
-            raise ValueError(f"{len(self.labels)} design columns; the limit is {MAX_COLUMNS}")
         self.owner = np.array(owner)
 
     def _suffix(self, factor: str, j: int) -> str:
@@ -241,33 +233,21 @@ def cell_sums(source: Source, extra: Sequence[str]) -> DataFrame:
         *[F.sum(m).alias(f"__s{i}") for i, m in enumerate(_measures(source))])
 
 
-def bounded_pandas(df: DataFrame, limit: int) -> pd.DataFrame | None:
-    """The table on the driver if it has at most ``limit`` rows, else nothing.
-
-    ``take`` stops early, so a table that is too large is neither gathered nor moved to one
-    task.
-    """
-    found = df.take(limit + 1)
-    return pd.DataFrame(found, columns=df.columns) if len(found) <= limit else None
-
-
 def find_levels(
-    source: Source, cells: pd.DataFrame | DataFrame, declared: Mapping[str, Sequence[Any]]
+    source: Source, cells: DataFrame, declared: Mapping[str, Sequence[Any]]
 ) -> dict[str, list[str]]:
-    """Observed levels of each factor, in declared or sorted order."""
+    """Observed levels of each factor, in declared or sorted order, from one aggregation."""
+    if not source.factors:
+        return {}
+    seen = cells.agg(*[F.collect_set(f) for f in source.factors]).first()
     found = {}
-    for f in source.factors:
-        if isinstance(cells, pd.DataFrame):
-            seen = set(cells[f].unique())
-        else:
-            table = bounded_pandas(cells.select(f).distinct(), MAX_COLUMNS)
-            if table is None:
-                raise ValueError(f"factor {f} has more than {MAX_COLUMNS} levels")
-            seen = set(table[f])
+    if not all(seen):
+        raise ValueError("no complete rows to fit")
+    for f, values in zip(source.factors, seen):
         if f in declared:
-            found[f] = [str(v) for v in declared[f] if str(v) in seen]
+            found[f] = [str(v) for v in declared[f] if str(v) in set(values)]
         else:
-            found[f] = order_levels(seen, f in source.numeric_factors)
+            found[f] = order_levels(set(values), f in source.numeric_factors)
     return found
 
 
@@ -301,17 +281,13 @@ def triangle(rows: np.ndarray) -> np.ndarray:
 
 
 def reduce_triangle(
-    cells: pd.DataFrame | DataFrame, rows_of: Callable[[pd.DataFrame], Any]
+    cells: DataFrame, rows_of: Callable[[pd.DataFrame], Any]
 ) -> tuple[np.ndarray, np.ndarray]:
     """Triangular factor of the rows, and sums of the totals, that ``rows_of(cells)`` gives.
 
-    Few cells are handled where they are. Many cells stay on Spark: each partition reduces
-    its own to one small triangle, and only those triangles are stacked.
+    Each partition reduces its own cells, as they lie, to one small triangle; only the
+    triangles are stacked.
     """
-    if isinstance(cells, pd.DataFrame):
-        rows, totals = rows_of(cells)
-        return triangle(rows), totals
-
     def per_partition(batches):
         partial, sums = None, 0.0
         for batch in batches:
@@ -325,8 +301,9 @@ def reduce_triangle(
                 "row": [r.tolist() for r in partial] + [np.atleast_1d(sums).tolist()],
             })
 
-    found = (cells.repartition(TREE_WIDTH)
-             .mapInPandas(per_partition, "total boolean, row array<double>").collect())
+    found = cells.mapInPandas(per_partition, "total boolean, row array<double>").collect()
+    if not found:
+        raise ValueError("no complete rows to fit")
     stacked = np.array([r.row for r in found if not r.total])
     return triangle(stacked), np.sum([r.row for r in found if r.total], axis=0)
 
@@ -339,29 +316,23 @@ class Frame:
     design: Design
     triangle: np.ndarray
     n: int
-    cells: pd.DataFrame | DataFrame
+    cells: DataFrame
     at: dict[str, float]
 
 
 def model_frame(
     df: DataFrame, y: str, term_list: Sequence[Term], covariates: Sequence[str] = (),
     contrasts: str = "treatment", levels: Mapping[str, Sequence[Any]] | None = None,
-    max_cells: int = MAX_CELLS,
 ) -> Frame:
     source = model_rows(df, y, term_list, covariates)
-    return frame_of(df.sparkSession, source, term_list, contrasts, levels, max_cells)
+    return frame_of(df.sparkSession, source, term_list, contrasts, levels)
 
 
 def frame_of(
     spark: SparkSession, source: Source, term_list: Sequence[Term], contrasts: str,
-    levels: Mapping[str, Sequence[Any]] | None, max_cells: int = MAX_CELLS,
+    levels: Mapping[str, Sequence[Any]] | None, cells: DataFrame | None = None,
 ) -> Frame:
-    moments = cell_moments(source)
-    cells = bounded_pandas(moments, max_cells)
-    if cells is None:
-        cells = settle(moments)
-    elif not cells["__n"].sum():
-        raise ValueError("no complete rows to fit")
+    cells = cell_moments(source).persist() if cells is None else cells
     design = Design(list(term_list), find_levels(source, cells, levels or {}), source.covariates,
                     contrasts)
     q = len(design.monomials)

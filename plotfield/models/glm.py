@@ -17,17 +17,14 @@ from pyspark.sql import DataFrame, functions as F
 from plotfield.models import posthoc
 from plotfield.models._tables import table
 from plotfield.models._tails import chi2_upper, t_two_sided
-from plotfield.models.design import (
-    MAX_CELLS, Design, Term, bounded_pandas, find_levels, model_rows, reduce_triangle,
-)
+from plotfield.models.design import Design, Term, find_levels, model_rows, reduce_triangle
 from plotfield.models.linear import independent_columns
-from plotfield.session import settle
 
 MAX_STEPS = 50
 
 
 class PoissonFit:
-    def __init__(self, spark, design: Design, cells: pd.DataFrame | DataFrame) -> None:
+    def __init__(self, spark, design: Design, cells: DataFrame) -> None:
         self.spark, self.design, self._cells = spark, design, cells
         every = np.arange(len(design.labels))
         self.beta, self.unscaled, self.deviance, pearson, self.n, self.at = self._fit(every)
@@ -70,6 +67,8 @@ class PoissonFit:
             inverse = np.linalg.inv(basis @ r[:, kept])
             beta = np.zeros(k)
             beta[kept] = inverse @ (basis @ r[:, k])
+        else:
+            raise RuntimeError(f"the fit has not converged after {MAX_STEPS} steps")
         full = np.full(len(self.design.labels), np.nan)
         full[columns[kept]] = beta[kept]
         unscaled = np.full((len(full), len(full)), np.nan)
@@ -121,7 +120,6 @@ class PoissonFit:
 def glm_quasipoisson(
     df: DataFrame, y: str, terms: Sequence[Term], covariates: Sequence[str] = (),
     contrasts: str = "treatment", levels: Mapping[str, Sequence[Any]] | None = None,
-    max_cells: int = MAX_CELLS,
 ) -> PoissonFit:
     source = model_rows(df, y, terms, covariates)
     y_col = F.col("__y")
@@ -131,9 +129,7 @@ def glm_quasipoisson(
         (F.var_pop(y_col) * F.count(F.lit(1))).alias("__css"),
         F.sum(F.when(y_col > 0, y_col * F.log(y_col)).otherwise(0.0)).alias("__ylogy"),
     )
-    local = bounded_pandas(cells, max_cells)
-    if local is None:
-        local = settle(cells)
-    design = Design(list(terms), find_levels(source, local, levels or {}), source.covariates,
+    cells = cells.persist()
+    design = Design(list(terms), find_levels(source, cells, levels or {}), source.covariates,
                     contrasts)
-    return PoissonFit(df.sparkSession, design, local)
+    return PoissonFit(df.sparkSession, design, cells)

@@ -1,69 +1,70 @@
 """Binomial mixed model (logit link, one random intercept) by the Laplace approximation.
 
-Rows sharing group and predictor values collapse to trials and successes. If the collapsed
-table is small it is fitted where it is; otherwise it stays on Spark, where every group's
-mode is improved by Newton steps that are plain grouped sums, so that even a group holding
-most of the rows is pre-aggregated and never gathered in one task.
+Rows sharing group and predictor values collapse to trials and successes before they meet, so a
+group of any size is one row of as many cells as it has different predictor values. Tasks find
+the modes of their own groups and add up their part of the objective; one pass over the groups
+serves several points of the search, and nothing but sums reaches the driver.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
 from typing import Any
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from plotfield.models import posthoc
 from plotfield.models._tables import table
 from plotfield.models._tails import normal_two_sided
-from plotfield.models.design import (
-    MAX_CELLS, Design, Term, bounded_pandas, find_levels, model_rows,
-)
+from plotfield.models.design import Design, Term, find_levels, model_rows
 from plotfield.models.mixed import wald_table
-from plotfield.session import settle
 
 MODE_STEPS = 60
 MODE_TOLERANCE = 1e-10
 
 
-class _Local:
-    """Deviance and gradient over a small collapsed table."""
+class _Cells:
+    """Deviance, gradient, score and information of the groups of one task."""
 
-    def __init__(self, cells: pd.DataFrame, design: Design) -> None:
-        self.x = design.rows(cells)
-        self.n, self.s = cells["__n"].to_numpy(float), cells["__s"].to_numpy(float)
-        self.g, names = pd.factorize(cells["__g"])
-        self.groups = len(names)
-        self.u = np.zeros(self.groups)
+    def __init__(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.n, self.s, self.x = values[:, 0], values[:, 1], values[:, 2:]
+        self.g, self.groups = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
 
     def _sum(self, values: np.ndarray) -> np.ndarray:
         if values.ndim == 1:
             return np.bincount(self.g, values, self.groups)
         return np.column_stack([self._sum(values[:, j]) for j in range(values.shape[1])])
 
-    def information(self, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Score and information of the model without random effects."""
-        p = 1.0 / (1.0 + np.exp(-np.clip(self.x @ beta, -30.0, 30.0)))
-        return (self.x.T @ (self.s - self.n * p),
-                (self.x * (self.n * p * (1.0 - p))[:, None]).T @ self.x)
-
-    def evaluate(self, theta: float, beta: np.ndarray) -> tuple[float, np.ndarray]:
-        fixed, u = self.x @ beta, self.u
+    @staticmethod
+    def _logistic(eta: np.ndarray) -> np.ndarray:
+        small = np.exp(-np.abs(eta))
+        return np.where(eta >= 0.0, 1.0, small) / (1.0 + small)
+
+    def information(self, beta: np.ndarray) -> np.ndarray:
+        """Score and information of the model without random effects, in one array."""
+        p = self._logistic(self.x @ beta)
+        return np.concatenate([self.x.T @ (self.s - self.n * p),
+                               ((self.x * (self.n * p * (1.0 - p))[:, None]).T @ self.x).ravel()])
+
+    def evaluate(self, theta: float, beta: np.ndarray) -> np.ndarray:
+        """Deviance, slope in theta and slopes in beta."""
+        fixed, u = self.x @ beta, np.zeros(self.groups)
         for _ in range(MODE_STEPS):
-            p = 1.0 / (1.0 + np.exp(-(fixed + theta * u[self.g])))
+            p = self._logistic(fixed + theta * u[self.g])
             pull = theta * self._sum(self.s - self.n * p) - u
+            # Steps are shortened; the loop goes on until there are none to make.
             move = np.clip(
                 pull / (1.0 + theta**2 * self._sum(self.n * p * (1.0 - p))), -3.0, 3.0)
             u = u + move
             if np.abs(move).max() < MODE_TOLERANCE:
                 break
-        self.u = u
+        else:
+            raise RuntimeError(f"a group's mode has not converged after {MODE_STEPS} steps")
         eta = fixed + theta * u[self.g]
-        p = 1.0 / (1.0 + np.exp(-eta))
+        p = self._logistic(eta)
         r, w = self.s - self.n * p, self.n * p * (1.0 - p)
         v = w * (1.0 - 2.0 * p)
         sr, sw, sv = self._sum(r), self._sum(w), self._sum(v)
@@ -77,77 +78,45 @@ class _Local:
             theta**2 * (svx + theta * sv[:, None] * du_beta) / h[:, None]).sum(axis=0)
         grad_theta = -2.0 * (sr @ u) + (
             (2.0 * theta * sw + theta**2 * sv * (u + theta * du_theta)) / h).sum()
-        return float(deviance), np.append(grad_theta, grad_beta)
+        return np.concatenate([[deviance, grad_theta], grad_beta])
 
 
-class _Spread:
-    """The same over a collapsed table that stays on Spark."""
+class _Objective:
+    """Sums of :class:`_Cells` over all groups; one job for any number of points."""
 
     def __init__(self, cells: DataFrame, design: Design) -> None:
         self.k = len(design.labels)
-        columns = [c.alias(f"__x{i}") for i, c in enumerate(design.expressions())]
-        self.rows = settle(cells.select("__g", "__n", "__s", *columns))
-        self.modes = settle(self.rows.select("__g").distinct().withColumn("__u", F.lit(0.0)))
-        self.groups = self.modes.count()
-
-    def _dot(self, beta: np.ndarray) -> Column:
-        return reduce(Column.__add__, [F.col(f"__x{i}") * float(b) for i, b in enumerate(beta)])
-
-    @staticmethod
-    def _probability(eta: Column) -> Column:
-        return 1 / (1 + F.exp(-eta))
+        row = F.array("__n", "__s", *[c.cast("double") for c in design.expressions()])
+        self.rows = (cells.select("__g", row.alias("row")).groupBy("__g")
+                     .agg(F.flatten(F.collect_list("row")).alias("cells")).select("cells").persist())
+        self.groups = self.rows.count()
+
+    def _total(self, points: list, evaluate: Callable[[_Cells, Any], np.ndarray]) -> np.ndarray:
+        width = self.k + 2
+
+        def per_partition(batches):
+            total = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                lists = batch.column(0)
+                sizes = lists.value_lengths().to_numpy(zero_copy_only=False) // width
+                part = _Cells(lists.flatten().to_numpy().reshape(-1, width), sizes)
+                found = np.array([evaluate(part, point) for point in points])
+                total = found if total is None else total + found
+            if total is not None:
+                yield pa.RecordBatch.from_pydict({"sums": pa.array([total.ravel()], pa.list_(pa.float64()))})
+
+        found = self.rows.mapInArrow(per_partition, "sums array<double>").collect()
+        return np.sum([np.array(r.sums) for r in found], axis=0).reshape(len(points), -1)
 
     def information(self, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        eta = F.greatest(F.least(self._dot(beta), F.lit(30.0)), F.lit(-30.0))
-        rows = self.rows.withColumn("__p", self._probability(eta))
-        r = F.col("__s") - F.col("__n") * F.col("__p")
-        w = F.col("__n") * F.col("__p") * (1 - F.col("__p"))
-        pairs = [(i, j) for i in range(self.k) for j in range(i, self.k)]
-        found = rows.agg(
-            *[F.sum(r * F.col(f"__x{i}")) for i in range(self.k)],
-            *[F.sum(w * F.col(f"__x{i}") * F.col(f"__x{j}")) for i, j in pairs]).first()
-        info = np.empty((self.k, self.k))
-        for (i, j), value in zip(pairs, found[self.k:]):
-            info[i, j] = info[j, i] = value
-        return np.array(found[:self.k]), info
-
-    def _at(self, theta: float, beta: np.ndarray) -> DataFrame:
-        eta = self._dot(beta) + float(theta) * F.col("__u")
-        rows = self.rows.join(self.modes, "__g").withColumn("__eta", eta)
-        return rows.withColumn("__p", self._probability(F.col("__eta")))
-
-    def evaluate(self, theta: float, beta: np.ndarray) -> tuple[float, np.ndarray]:
-        t = float(theta)
-        n, s, p, u = F.col("__n"), F.col("__s"), F.col("__p"), F.col("__u")
-        r, w = s - n * p, n * p * (1 - p)
-        for _ in range(MODE_STEPS):
-            sums = self._at(t, beta).groupBy("__g", "__u").agg(
-                F.sum(r).alias("r"), F.sum(w).alias("w"))
-            move = (t * F.col("r") - u) / (1 + t * t * F.col("w"))
-            move = F.greatest(F.least(move, F.lit(3.0)), F.lit(-3.0))
-            stepped = settle(sums.select("__g", (u + move).alias("__u"), F.abs(move).alias("move")))
-            self.modes = stepped.select("__g", "__u")
-            if stepped.agg(F.max("move")).first()[0] < MODE_TOLERANCE:
-                break
-        v = w * (1 - 2 * p)
-        eta, k = F.col("__eta"), self.k
-        log1pexp = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
-        sums = self._at(t, beta).groupBy("__g", "__u").agg(
-            F.sum(s * eta - n * log1pexp).alias("l"),
-            F.sum(r).alias("r"), F.sum(w).alias("w"), F.sum(v).alias("v"),
-            *[F.sum(e * F.col(f"__x{i}")).alias(f"{name}{i}")
-              for name, e in (("r", r), ("w", w), ("v", v)) for i in range(k)])
-        h = 1 + t * t * F.col("w")
-        sums = sums.withColumn("h", h).withColumn(
-            "du", (F.col("r") - t * u * F.col("w")) / F.col("h"))
-        found = sums.agg(
-            F.sum(-2 * F.col("l") + u * u + F.log("h")),
-            F.sum(-2 * F.col("r") * u + (2 * t * F.col("w") + t * t * F.col("v")
-                                         * (u + t * F.col("du"))) / F.col("h")),
-            *[F.sum(-2 * F.col(f"r{i}") + t * t * (
-                F.col(f"v{i}") - t * F.col("v") * t * F.col(f"w{i}") / F.col("h")) / F.col("h"))
-              for i in range(k)]).first()
-        return float(found[0]), np.array(found[1:], dtype=float)
+        found = self._total([beta], lambda part, b: part.information(b))[0]
+        return found[:self.k], found[self.k:].reshape(self.k, self.k)
+
+    def evaluate(self, *points: tuple[float, np.ndarray]) -> list[tuple[float, np.ndarray]]:
+        found = self._total(list(points), lambda part, point: part.evaluate(*point))
+        return [(float(row[0]), row[1:]) for row in found]
 
 
 def _minimise(evaluate: Callable, start: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -172,16 +141,18 @@ def _minimise(evaluate: Callable, start: np.ndarray) -> tuple[float, np.ndarray,
         stalled = value - trial < 1e-13 * (1.0 + abs(value))
         x, value, gradient = x + moved, trial, trial_gradient
         if stalled:
-            break
+            break  # no descent is left in the arithmetic
         curvature = moved @ change
         if curvature > 1e-12:
             mixed = np.eye(len(x)) - np.outer(moved, change) / curvature
             inverse = mixed @ inverse @ mixed.T + np.outer(moved, moved) / curvature
+    else:
+        raise RuntimeError("the fit has not converged after 300 steps")
     return value, x, gradient
 
 
 class BinomialMixedFit:
-    def __init__(self, spark, design: Design, objective: _Local | _Spread, n: int,
+    def __init__(self, spark, design: Design, objective: _Objective, n: int,
                  at: dict[str, float]) -> None:
         self.spark, self.design, self.objective, self.n, self.at = spark, design, objective, n, at
         k = len(design.labels)
@@ -192,14 +163,19 @@ class BinomialMixedFit:
             beta = beta + move
             if np.abs(move).max() < 1e-6:
                 break
+        else:
+            raise RuntimeError("the fit without random effects has not converged after 25 steps")
         _, info = objective.information(beta)
         if np.linalg.matrix_rank(info) < k:
             raise ValueError("the design has empty cells or dependent columns")
         scale = np.linalg.inv(np.linalg.cholesky(info)).T
 
+        def scaled_all(*points: np.ndarray) -> list[tuple[float, np.ndarray]]:
+            found = objective.evaluate(*[(float(z[0]), beta + scale @ z[1:]) for z in points])
+            return [(value, np.append(g[0], scale.T @ g[1:])) for value, g in found]
+
         def scaled(z: np.ndarray) -> tuple[float, np.ndarray]:
-            value, gradient = objective.evaluate(z[0], beta + scale @ z[1:])
-            return value, np.append(gradient[0], scale.T @ gradient[1:])
+            return scaled_all(z)[0]
 
         start = np.zeros(k + 1)
         start[0] = 1.0
@@ -207,8 +183,8 @@ class BinomialMixedFit:
         # Differences of the exact gradient give the curvature; one Newton step polishes.
         for _ in range(2):
             step = 1e-4
-            hessian = np.array([(scaled(z + step * e)[1] - scaled(z - step * e)[1]) / (2 * step)
-                                for e in np.eye(k + 1)])
+            around = scaled_all(*[z + sign * step * e for e in np.eye(k + 1) for sign in (1, -1)])
+            hessian = np.array([(around[2 * i][1] - around[2 * i + 1][1]) / (2 * step) for i in range(k + 1)])
             hessian = 0.5 * (hessian + hessian.T)
             polished = z - np.linalg.lstsq(hessian, gradient, rcond=None)[0]
             better, better_gradient = scaled(polished)
@@ -258,29 +234,21 @@ class BinomialMixedFit:
 def glmm_binomial(
     df: DataFrame, y: str, fixed: Sequence[Term], group: str, covariates: Sequence[str] = (),
     contrasts: str = "treatment", levels: Mapping[str, Sequence[Any]] | None = None,
-    max_cells: int = MAX_CELLS,
 ) -> BinomialMixedFit:
-    """Fit a 0/1 response ``y`` with fixed terms and a random intercept per ``group``."""
+    """Fit a 0/1 response ``y`` with fixed terms and a random intercept per ``group``.
+
+    The different predictor values of one group must fit a task's memory; rows may be any number.
+    """
     source = model_rows(df, y, fixed, covariates, extra=[group])
     keys = [*source.factors, *source.covariates]
     cells = source.df.groupBy(F.col(f"__{group}").alias("__g"), *keys).agg(
-        F.count(F.lit(1)).cast("double").alias("__n"), F.sum("__y").alias("__s"))
-    local = bounded_pandas(cells, max_cells)
-    kept = settle(cells) if local is None else local
-    design = Design(list(fixed), find_levels(source, kept, levels or {}), source.covariates,
+        F.count(F.lit(1)).cast("double").alias("__n"), F.sum("__y").cast("double").alias("__s")).persist()
+    design = Design(list(fixed), find_levels(source, cells, levels or {}), source.covariates,
                     contrasts)
     # Covariates enter centred; coefficients are carried back to the raw scale.
-    if local is None:
-        totals = kept.agg(F.sum("__n"), *[F.sum(F.col("__n") * F.col(c))
-                                          for c in source.covariates]).first()
-        at = {c: totals[1 + i] / totals[0] for i, c in enumerate(source.covariates)}
-        centred = kept.withColumns({c: F.col(c) - m for c, m in at.items()})
-        objective: _Local | _Spread = _Spread(centred, design)
-    else:
-        if local.empty:
-            raise ValueError("no complete rows to fit")
-        totals = [local["__n"].sum()]
-        at = {c: float((local["__n"] * local[c]).sum() / totals[0]) for c in source.covariates}
-        centred = local.assign(**{c: local[c] - m for c, m in at.items()})
-        objective = _Local(centred.sort_values(["__g", *keys]).reset_index(drop=True), design)
-    return BinomialMixedFit(df.sparkSession, design, objective, int(round(totals[0])), at)
+    totals = cells.agg(F.sum("__n"), *[F.sum(F.col("__n") * F.col(c)) for c in source.covariates]).first()
+    if not totals[0]:
+        raise ValueError("no complete rows to fit")
+    at = {c: totals[1 + i] / totals[0] for i, c in enumerate(source.covariates)}
+    centred = cells.withColumns({c: F.col(c) - m for c, m in at.items()}) if at else cells
+    return BinomialMixedFit(df.sparkSession, design, _Objective(centred, design), int(round(totals[0])), at)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from plotfield.models import posthoc
 from plotfield.models._tables import table
 from plotfield.models._tails import f_upper, studentised_range_upper, t_two_sided
-from plotfield.models.design import MAX_CELLS, Frame, Term, bounded_pandas, model_frame
+from plotfield.models.design import Frame, Term, model_frame
 
 TOLERANCE = 1e-9
 
@@ -140,17 +140,9 @@ class LinearFit:
                                       lambda row: float(self.df_resid), adjust)
 
     def _term_means(self, term: Term) -> pd.DataFrame:
-        last = len(self.design.monomials)
-        cells, total = self.frame.cells, f"__m{last}"
-        if isinstance(cells, pd.DataFrame):
-            weighted = cells.assign(__t=cells["__n"] * cells[total])
-            means = weighted.groupby(list(term), as_index=False)[["__n", "__t"]].sum()
-        else:
-            summed = cells.groupBy(*term).agg(
-                F.sum("__n").alias("__n"), F.sum(F.col("__n") * F.col(total)).alias("__t"))
-            means = bounded_pandas(summed, posthoc.MAX_MEANS)
-        if means is None or len(means) > posthoc.MAX_MEANS:
-            raise ValueError(f"{':'.join(term)} has too many levels to compare all pairs")
+        total = f"__m{len(self.design.monomials)}"
+        means = self.frame.cells.groupBy(*term).agg(
+            F.sum("__n").alias("__n"), F.sum(F.col("__n") * F.col(total)).alias("__t")).toPandas()
         for f in term:
             means[f] = pd.Categorical(means[f], categories=self.design.levels[f], ordered=True)
         return means.sort_values(list(reversed(term))).reset_index(drop=True)
@@ -176,7 +168,6 @@ class LinearFit:
 def linear_model(
     df: DataFrame, y: str, terms: Sequence[Term], covariates: Sequence[str] = (),
     contrasts: str = "treatment", levels: Mapping[str, Sequence[Any]] | None = None,
-    max_cells: int = MAX_CELLS,
 ) -> LinearFit:
     """Least-squares fit. Variables are factors unless named in ``covariates``."""
-    return LinearFit(model_frame(df, y, terms, covariates, contrasts, levels, max_cells))
+    return LinearFit(model_frame(df, y, terms, covariates, contrasts, levels))

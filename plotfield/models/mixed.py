@@ -19,14 +19,11 @@ from pyspark.sql import DataFrame, functions as F
 from plotfield.models import posthoc
 from plotfield.models._tables import table
 from plotfield.models._tails import chi2_upper, t_two_sided
-from plotfield.models.design import (
-    MAX_CELLS, Frame, Term, bounded_pandas, cell_sums, frame_of, model_rows,
-)
+from plotfield.models.design import Frame, Term, cell_sums, frame_of, model_rows
 from plotfield.models.linear import independent_columns
-from plotfield.session import settle
 
-# Numbers held at once: on the driver for the search, and in a task that adds products up.
-MAX_ENTRIES = 1_000_000
+# Numbers that a task holds before it hands its partial sums on.
+HELD_NUMBERS = 1_000_000
 
 
 def _group_products(sums: DataFrame, group: str, frame: Frame, shift: float) -> DataFrame:
@@ -66,7 +63,7 @@ def _group_products(sums: DataFrame, group: str, frame: Frame, shift: float) ->
                 entry[0] += len(chosen)
                 entry[1] = entry[1] + chosen.T @ chosen
                 # Partial sums may be handed on at any time, which bounds the task's memory.
-                if len(by_size) * z.shape[1] ** 2 > MAX_ENTRIES:
+                if len(by_size) * z.shape[1] ** 2 > HELD_NUMBERS:
                     yield emit(by_size)
                     by_size = {}
         if by_size:
@@ -80,38 +77,33 @@ def _group_products(sums: DataFrame, group: str, frame: Frame, shift: float) ->
 
 
 class _Products:
-    """Weighted sums over group sizes, from a local table or, if there are many sizes, Spark."""
-
-    def __init__(self, entries: DataFrame, width: int, max_entries: int) -> None:
-        self._width = width
-        local = bounded_pandas(entries, max_entries)
-        if local is None:
-            self._entries, self._local = settle(entries), None
-        else:
-            wide = local.pivot(index="size", columns="pos", values="total").sort_index()
-            sizes = wide.index.to_numpy(float)
-            self._local = (sizes, wide[0].to_numpy(), wide.drop(columns=0).to_numpy())
+    """Sums over group sizes, weighted by a variance ratio. Several ratios cost one aggregation."""
+
+    def __init__(self, entries: DataFrame, width: int) -> None:
+        self._width, self._entries, self._known = width, entries.persist(), {}
+        self.n_groups = int(round(self._entries.where("pos = 0").agg(F.sum("total")).first()[0]))
+
+    def prepare(self, ratios: Sequence[float]) -> None:
+        """Evaluate the ratios that are not known yet, all in one pass."""
+        new = [r for r in dict.fromkeys(map(float, ratios)) if r not in self._known]
+        if not new:
+            return
+        w, size, first = self._width, F.col("size").cast("double"), F.col("pos") == 0
+        sums = []
+        for ratio in new:
+            grown = 1.0 + size * ratio
+            sums += [F.sum(F.col("total") * F.when(first, F.log(grown)).otherwise(ratio / grown)),
+                     F.sum(F.col("total") * F.when(first, size / grown).otherwise(1 / (grown * grown)))]
+        found = np.array(self._entries.groupBy("pos").agg(*sums).orderBy("pos").collect(), dtype=float)[:, 1:]
+        for i, ratio in enumerate(new):
+            value, slope = found[:, 2 * i], found[:, 2 * i + 1]
+            self._known[ratio] = (float(value[0]), value[1:].reshape(w, w),
+                                  float(slope[0]), slope[1:].reshape(w, w))
 
     def at(self, ratio: float) -> tuple[float, np.ndarray, float, np.ndarray]:
         """Sum of log(1 + r n) and the correction matrix over all groups, and their slopes."""
-        w = self._width
-        if self._local is not None:
-            sizes, groups, products = self._local
-            grown = 1.0 + ratio * sizes
-            value = np.concatenate([[groups @ np.log(grown)], (ratio / grown) @ products])
-            slope = np.concatenate([[groups @ (sizes / grown)], (1.0 / grown**2) @ products])
-        else:
-            size = F.col("size").cast("double")
-            grown, first = 1.0 + size * ratio, F.col("pos") == 0
-            found = self._entries.groupBy("pos").agg(
-                F.sum(F.col("total") * F.when(first, F.log(grown)).otherwise(ratio / grown)),
-                F.sum(F.col("total") * F.when(first, size / grown).otherwise(1 / (grown * grown))),
-            ).collect()
-            value, slope = np.zeros(w * w + 1), np.zeros(w * w + 1)
-            for pos, v, d in found:
-                value[pos], slope[pos] = v, d
-        return (float(value[0]), value[1:].reshape(w, w),
-                float(slope[0]), slope[1:].reshape(w, w))
+        self.prepare([ratio])
+        return self._known[float(ratio)]
 
 
 class MixedFit:
@@ -175,24 +167,44 @@ class MixedFit:
                         + self._df * moved / rss)
 
     def _search(self) -> float:
-        """Coarse scan of the log ratio, then the root of the slope in the best bracket."""
+        """Coarse scan of the log ratio, then the root of the slope in the best bracket.
+
+        The bracket is divided several times at once, as one pass serves many ratios, before
+        single steps close in.
+        """
         scan = np.linspace(math.log(1e-8), math.log(1e8), 33)
+        self._products.prepare([math.exp(s) for s in scan])
         values = [self._profile(math.exp(s))[0] for s in scan]
         best = int(np.argmin(values))
         low, high = scan[max(best - 1, 0)], scan[min(best + 1, len(scan) - 1)]
         slope_low, slope_high = self._slope(low), self._slope(high)
         if slope_low >= 0.0:
             return 0.0
+        for _ in range(2):
+            if slope_high <= 0.0:
+                break
+            inner = np.linspace(low, high, 17)[1:-1]
+            self._products.prepare([math.exp(s) for s in inner])
+            for point in inner:
+                slope = self._slope(point)
+                if slope >= 0.0:
+                    high, slope_high = point, slope
+                    break
+                low, slope_low = point, slope
         while slope_high > 0.0 and high - low > 1e-12:
             # Regula falsi, with a bisection step whenever it crowds one end.
             middle = low - slope_low * (high - low) / (slope_high - slope_low)
             margin = 0.02 * (high - low)
             middle = min(max(middle, low + margin), high - margin)
-            slope = self._slope(middle)
-            if slope < 0.0:
-                low, slope_low = middle, slope
-            else:
-                high, slope_high = middle, slope
+            # The root lies close to the estimate: its surroundings become the next bracket.
+            points = sorted({middle - margin / 8, middle, middle + margin / 8})
+            self._products.prepare([math.exp(s) for s in points])
+            for point in points:
+                slope = self._slope(point)
+                if slope >= 0.0:
+                    high, slope_high = point, slope
+                    break
+                low, slope_low = point, slope
         return math.exp(0.5 * (low + high))
 
     def _criterion(self, group_variance: float, sigma2: float) -> float:
@@ -209,6 +221,8 @@ class MixedFit:
             point = np.array([self.group_variance, self.sigma2])
             step = point * 1e-3
             hessian = np.empty((2, 2))
+            moves = [(i * step[0], j * step[1]) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+            self._products.prepare([(point[0] + a) / (point[1] + b) for a, b in moves])
             centre = self._criterion(*point)
             for i in range(2):
                 e = np.eye(2)[i] * step
@@ -284,19 +298,13 @@ def wald_table(spark, design, kept, beta, cov) -> DataFrame:
 def lmm(
     df: DataFrame, y: str, fixed: Sequence[Term], group: str, covariates: Sequence[str] = (),
     contrasts: str = "treatment", levels: Mapping[str, Sequence[Any]] | None = None,
-    max_cells: int = MAX_CELLS, max_entries: int = MAX_ENTRIES,
 ) -> MixedFit:
     """Random intercept per ``group``; fixed terms as in a linear model."""
     source = model_rows(df, y, fixed, covariates, extra=[group])
-    frame = frame_of(df.sparkSession, source, fixed, contrasts, levels, max_cells)
+    frame = frame_of(df.sparkSession, source, fixed, contrasts, levels)
     k = len(frame.design.labels)
     # Fitting around the overall mean keeps the cross-products well scaled.
     shift = float(frame.triangle[0, k] / frame.triangle[0, 0])
     sums = cell_sums(source, [f"__{group}"])
-    entries = _group_products(sums, f"__{group}", frame, shift)
-    products = _Products(entries, k + 1, max_entries)
-    if products._local is not None:
-        n_groups = int(round(products._local[1].sum()))
-    else:
-        n_groups = int(round(products._entries.where("pos = 0").agg(F.sum("total")).first()[0]))
-    return MixedFit(frame, products, n_groups, shift)
+    products = _Products(_group_products(sums, f"__{group}", frame, shift), k + 1)
+    return MixedFit(frame, products, products.n_groups, shift)

@@ -1,6 +1,6 @@
 """Joins in which missing keys match each other, and complete design grids.
 
-No side is broadcast by hint unless it is an inline table, whose size is known. For tables,
+No side is broadcast by hint unless it is a short inline table, whose size is known. For tables,
 the optimizer broadcasts below its threshold and otherwise sort-merges, where adaptive
 skew-join splitting spreads a hot key over several tasks.
 """
@@ -14,7 +14,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from plotfield.sources.tables import MAX_LITERAL_ROWS, literal_table
+from plotfield.sources.tables import literal_table
+
+#: Rows up to which an inline table is broadcast; a longer one takes part in an ordinary join.
+BROADCAST_ROWS = 10_000
 
 Keys = Sequence[str | tuple[str, str]]
 
@@ -63,9 +66,9 @@ def left_join(
 def lookup_join(
     df: DataFrame, rows: Sequence[Sequence[Any]], schema: StructType | str, on: str | Keys
 ) -> DataFrame:
-    """Left join to an inline table, broadcast because its row count is checked."""
+    """Left join to an inline table, broadcast if it has at most ``BROADCAST_ROWS`` rows."""
     table = literal_table(df.sparkSession, rows, schema)
-    return _join(df, F.broadcast(table), on, "left")
+    return _join(df, F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table, on, "left")
 
 
 def _key_side(right: DataFrame, on: str | Keys) -> DataFrame:
@@ -92,8 +95,6 @@ def member_flag(left: DataFrame, right: DataFrame, on: str | Keys, name: str) ->
 def grid_over(df: DataFrame, dimensions: Mapping[str, Sequence[Any]]) -> DataFrame:
     """Every row of ``df`` with every combination of the listed values."""
     for name, values in dimensions.items():
-        if len(values) > MAX_LITERAL_ROWS:
-            raise ValueError(f"{name}: {len(values)} values is too many for a grid dimension")
         df = df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     return df
 

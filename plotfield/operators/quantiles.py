@@ -1,93 +1,100 @@
-"""Exact interpolated quantiles and box summaries that survive one huge group.
-
-The built-in exact percentile keeps all distinct values of a group in one task. Here an
-approximate percentile first brackets each wanted rank (its rank error is bounded, and the
-bracket is several times wider); everything below a bracket collapses to a single count on
-the map side, and only the bracket itself is ordered. Small groups use [min, max] instead.
-
-The per-group limits are written before they are joined: their size is then known, and if
-it is small they are broadcast, so the measured rows are not shuffled at all.
+"""Exact interpolated quantiles and box summaries by repeated histograms.
+
+Every wanted rank of a group lies in a bracket of values, at first from the smallest to the
+largest. A pass counts the rows of the bracket in equal bins, combined on the map side, with
+the smallest and largest value of each bin; the running sum over the bins, ``BINS`` a group at
+most, tells in which bin the rank lies, and that bin is the next bracket. It has shrunk by
+the number of bins, so a few passes leave brackets of a single value: the value at the rank.
+No task ever orders the rows of a group, however large the group is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from plotfield.functions.missing import observed
 from plotfield.operators.joins import left_join
-from plotfield.session import settle
 
-ACCURACY = 10_000
-MARGIN = 1e-3
-SMALL_GROUP = 10_000
+BINS = 4096
+
+
+def _bin(v: Column, low: Column, high: Column) -> Column:
+    """Number of the bin of a value between ``low`` and ``high``; never falls as the value grows."""
+    # Halves keep the difference finite where the ends are near the largest double.
+    width = high / 2 - low / 2
+    share = F.when(width > 0, (v / 2 - low / 2) / width).otherwise(F.lit(0.0))
+    return F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
 
 
 def exact_quantiles(
     df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
     names: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Linear-interpolated quantiles (position ``(n-1)p``) per group; missing values ignored."""
+    """Linear-interpolated quantiles (position ``(n-1)p``) per group; missing values and NaN ignored."""
     names = list(names or [f"q{i}" for i in range(len(probs))])
     keys = list(by)
-    rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where(
+    rows = df.select(*keys, observed(F.col(value).cast("double")).alias("__v")).where(
         F.col("__v").isNotNull())
-    edges = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-MARGIN, MARGIN)]
-    limits = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("__v").alias("__min"),
-        F.max("__v").alias("__max"),
-        F.percentile_approx("__v", edges, ACCURACY).alias("__edges"),
-    )
-    small = F.col("n") <= SMALL_GROUP
-    brackets = [(f"__low{i}", f"__high{i}") for i in range(len(probs))]
-    bounds = [
-        F.when(small, F.col(whole)).otherwise(F.get("__edges", F.lit(at))).alias(name)
-        for i, pair in enumerate(brackets)
-        for whole, at, name in zip(("__min", "__max"), (2 * i, 2 * i + 1), pair)
-    ]
-    limits = settle(limits.select(*keys, "n", *bounds))
+    sizes = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+    if not keys:
+        sizes = sizes.where("n > 0")
+    ranks = [r for p in probs for r in (F.floor((F.col("n") - 1) * F.lit(float(p))),
+                                        F.ceil((F.col("n") - 1) * F.lit(float(p))))]
+    # ``rank`` counts from 0 among the rows of the bracket.
+    brackets = sizes.select(*keys, "n", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("t"), r.cast("long").alias("rank"), "low", "high") for i, r in enumerate(ranks)
+    ])).alias("b")).select(*keys, "n", "b.*").persist()
+    while not brackets.where("low < high").isEmpty():
+        narrowed = _narrowed(rows, brackets, keys).persist()
+        narrowed.count()
+        brackets.unpersist()
+        brackets = narrowed
+
+    def at(i: int) -> Column:
+        return F.max(F.when(F.col("t") == i, F.col("low")))
+
+    def chosen(i: int, p: float) -> Column:
+        position = (F.first("n") - 1) * F.lit(float(p))
+        return at(2 * i) + (at(2 * i + 1) - at(2 * i)) * (position - F.floor(position))
+
+    return brackets.groupBy(*keys, "n").agg(
+        *[chosen(i, p).alias(name) for i, (p, name) in enumerate(zip(probs, names))])
+
+
+def _narrowed(rows: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The brackets with each open one replaced by the bin that holds its rank."""
+    ends = brackets.where("low < high").groupBy(*keys).agg(
+        F.collect_set(F.struct("low", "high")).alias("__ends"))  # two a wanted quantile at most
     if keys:
-        placed = left_join(rows, limits, keys)
+        placed = rows.join(ends.withColumnsRenamed({k: f"__{k}" for k in keys}),
+                           [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
     else:
-        placed = rows.withColumns(
-            {c: limits.select(F.col(c)).scalar() for c in limits.columns})
-    v = F.col("__v")
-    inside = reduce(Column.__or__, [v.between(F.col(low), F.col(high)) for low, high in brackets])
-    # Rows between brackets only need counting: one record per gap, whichever its values.
-    gap = reduce(Column.__add__, [(v > F.col(high)).cast("int") for _, high in brackets])
-    counted = (
-        placed.select(*keys, "n", "__v", F.when(inside, v).alias("__kept"),
-                      F.when(~inside, gap).alias("__gap"))
-        .groupBy(*keys, "n", "__kept", "__gap")
-        .agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__at"))
-    )
-    running = Window.partitionBy(*keys).orderBy("__at").rowsBetween(
+        placed = rows.withColumn("__ends", ends.scalar())
+    inside = placed.select(*keys, "__v", F.explode(F.filter(
+        "__ends", lambda e: F.col("__v").between(e["low"], e["high"]))).alias("__e"))
+    counts = inside.groupBy(*keys, "__e", _bin(F.col("__v"), F.col("__e.low"), F.col("__e.high")).alias("__bin")).agg(
+        F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    running = Window.partitionBy(*keys, "__e").orderBy("__bin").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("__cum", F.sum("__c").over(running))
-
-    def at_rank(rank: Column) -> Column:
-        found = F.min(F.when(F.col("__cum") >= rank, F.struct("__at", "__gap")))
-        missed = F.raise_error(F.lit("a rank fell outside its bracket"))
-        return F.when(found["__gap"].isNull(), found["__at"]).otherwise(missed)
-
-    def chosen(p: float) -> Column:
-        position = (F.col("n") - 1) * F.lit(float(p))
-        base = F.floor(position)
-        lower, upper = at_rank(base + 1), at_rank(F.ceil(position) + 1)
-        return lower + (upper - lower) * F.first(position - base)
-
-    return ranked.groupBy(*keys, "n").agg(
-        *[chosen(p).alias(name) for p, name in zip(probs, names)])
+    bins = counts.withColumn("__cum", F.sum("__c").over(running)).withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    held = [(F.col("low") == F.col("__e.low")) & (F.col("high") == F.col("__e.high")),
+            F.col("low") < F.col("high"), F.col("rank") < F.col("__cum"), F.col("rank") >= F.col("__cum") - F.col("__c")]
+    found = brackets.join(bins, [*same, *held], "left")
+    return found.select(*keys, "n", "t",
+                        F.when(F.col("__c").isNull(), F.col("rank")).otherwise(F.col("rank") - F.col("__cum") + F.col("__c")).alias("rank"),
+                        F.coalesce("__low", "low").alias("low"), F.coalesce("__high", "high").alias("high"))
 
 
 def _fenced(df: DataFrame, by: Sequence[str], value: str, coef: float):
     keys = list(by)
     boxes = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     reach = coef * (F.col("q3") - F.col("q1"))
-    boxes = settle(boxes.withColumns({"__lo": F.col("q1") - reach, "__hi": F.col("q3") + reach}))
-    rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where(
+    boxes = boxes.withColumns({"__lo": F.col("q1") - reach, "__hi": F.col("q3") + reach})
+    rows = df.select(*keys, observed(F.col(value).cast("double")).alias("__v")).where(
         F.col("__v").isNotNull())
     if keys:
         return left_join(rows, boxes, keys)

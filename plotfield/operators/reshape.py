@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import NumericType
 
 
 def longer(
@@ -73,13 +74,17 @@ def longer_values(
     variables = list(dict.fromkeys(v for v, _ in split.values()))
     measures = list(dict.fromkeys(m for _, m in split.values()))
     by_parts = {parts: c for c, parts in split.items()}
+    # A measure keeps its type if all its columns share it; different numbers meet as doubles.
+    types = {m: {df.schema[c].dataType for c, parts in split.items() if parts[1] == m} for m in measures}
+    kinds = {m: next(iter(t)) if len(t) == 1 else "double" if all(isinstance(x, NumericType) for x in t) else "string"
+             for m, t in types.items()}
 
     def piece(variable: str):
         fields = []
         for m in measures:
             column = by_parts.get((variable, m))
             source = F.lit(None) if column is None else F.col(f"`{column}`")
-            fields.append(source.cast("double").alias(m))
+            fields.append(source.cast(kinds[m]).alias(m))
         return F.struct(F.lit(variable).alias(name), *fields)
 
     return df.select(
@@ -99,16 +104,25 @@ def wider(
     ids: Sequence[str],
     name: str,
     value: str,
-    values: Sequence[Any],
+    values: Sequence[Any] | None = None,
     prefix: str = "",
 ) -> DataFrame:
-    """One column per listed value of ``name``, in one aggregation.
+    """One column per value of ``name``, in one aggregation.
 
-    A cell must have one source row; two distinct values in one cell fail the job.
+    Without ``values`` the names are those found in the data, in order; that takes a pass
+    over them. With a list, a row whose name is not in it fails the job. A cell must have one
+    source row; two distinct values in one cell fail the job.
     """
+    if values is None:
+        found = df.agg(F.array_sort(F.collect_set(name))).first()[0]
+        values = list(found)
+    clash = F.raise_error(F.lit(f"several values of {value} in one cell"))
+    unlisted = F.raise_error(F.concat(F.lit(f"{name} has a value that is not listed: "), F.col(name).cast("string")))
+    named = F.when(F.col(name).isNull() | F.col(name).isin(list(values)), F.col(value)).otherwise(unlisted)
+    held = df.select(*[F.col(f"`{c}`") for c in ids], F.col(name).alias("__name"), named.alias("__value"))
+
     def cell(v: Any) -> Column:
-        held = F.when(F.col(name) == F.lit(v), F.col(value))
-        clash = F.raise_error(F.lit(f"several values of {value} in one cell"))
-        return F.when(F.min(held).eqNullSafe(F.max(held)), F.min(held)).otherwise(clash)
+        own = F.when(F.col("__name") == F.lit(v), F.col("__value"))
+        return F.when(F.min(own).eqNullSafe(F.max(own)), F.min(own)).otherwise(clash)
 
-    return df.groupBy(*ids).agg(*[cell(v).alias(f"{prefix}{v}") for v in values])
+    return held.groupBy(*ids).agg(*[cell(v).alias(f"{prefix}{v}") for v in values])

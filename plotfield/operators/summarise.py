@@ -11,20 +11,20 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plotfield.functions.missing import std_error, strict as strictly
+from plotfield.functions.missing import (
+    count_distinct_with_missing, observed, std_error, strict as strictly,
+)
 from plotfield.functions.text import mean_sd_text
-from plotfield.operators.joins import complete, grid, left_join
+from plotfield.operators.joins import complete, left_join
 from plotfield.operators.reshape import longer_values
-from plotfield.session import settle
-from plotfield.sources.tables import MAX_LITERAL_ROWS
 
 FUNCTIONS: Mapping[str, Callable[[str], Column]] = {
-    "mean": F.avg,
-    "sd": F.stddev_samp,
-    "var": F.var_samp,
-    "min": F.min,
-    "max": F.max,
-    "sum": F.sum,
+    "mean": lambda c: F.avg(observed(c)),
+    "sd": lambda c: F.stddev_samp(observed(c)),
+    "var": lambda c: F.var_samp(observed(c)),
+    "min": lambda c: F.min(F.col(c)),
+    "max": lambda c: F.max(F.col(c)),
+    "sum": lambda c: F.sum(observed(c)),
     "n": lambda c: F.count(F.col(c)),
 }
 
@@ -42,9 +42,10 @@ def mean_se(
     ``n`` picks the size in the standard error (all rows or observed values); ``strict``
     makes a group's statistics missing as soon as one value is.
     """
-    mean, sd, se = F.avg(value), F.stddev_samp(value), std_error(value, n)
+    number = observed(value)  # NaN is a missing value
+    mean, sd, se = F.avg(number), F.stddev_samp(number), std_error(number, n)
     if strict:
-        mean, sd, se = (strictly(x, value) for x in (mean, sd, se))
+        mean, sd, se = (strictly(x, number) for x in (mean, sd, se))
     return df.groupBy(*by).agg(
         mean.alias(names[0]), sd.alias(names[1]), se.alias(names[2]),
         F.count(F.lit(1)).alias(names[3]),
@@ -123,10 +124,14 @@ def proportion_se(
 
     The cohort size is the number of distinct units per ``cohort_by`` among the rows that
     satisfy ``cohort`` (all rows if not given).
+    A unit that is missing counts as one more unit, in the cohort and among those with the event.
     """
     base = df if cohort is None else df.where(cohort)
-    sizes = base.groupBy(*cohort_by).agg(F.count_distinct(unit).alias("n_cohort"))
-    hits = df.groupBy(*by).agg(F.count_distinct(F.when(event, F.col(unit))).alias("survived"))
+    sizes = base.groupBy(*cohort_by).agg(count_distinct_with_missing(unit).alias("n_cohort"))
+    met = F.coalesce(event, F.lit(False))
+    nameless = F.max((met & F.col(unit).isNull()).cast("long"))
+    hits = df.groupBy(*by).agg(
+        (F.count_distinct(F.when(met, F.col(unit))) + nameless).alias("survived"))
     share = F.try_divide(F.col("survived").cast("double"), F.col("n_cohort").cast("double"))
     return (
         left_join(hits, sizes, list(cohort_by))
@@ -140,7 +145,7 @@ def proportion_se(
 
 def entity_mean(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
     """One mean per entity and date, across its sensors."""
-    return df.groupBy(*by).agg(F.avg(value).alias(name))
+    return df.groupBy(*by).agg(F.avg(observed(value)).alias(name))
 
 
 def null_count(df: DataFrame, *cols: str) -> DataFrame:
@@ -150,21 +155,20 @@ def null_count(df: DataFrame, *cols: str) -> DataFrame:
 def contingency(
     df: DataFrame, cols: Sequence[str], levels: Mapping[str, Sequence[Any]] | None = None
 ) -> DataFrame:
-    """Counts for every combination of levels, with zeros; missing values are left out."""
-    counts = df.dropna(subset=list(cols)).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+    """Counts for every combination of levels, with zeros; missing values are left out.
+
+    The levels of an axis that ``levels`` does not list are those of the counted table. Each
+    axis becomes one array by aggregation and is exploded, so that the combinations arise on
+    the executors; a table's axes are small by nature.
+    """
+    counts = df.dropna(subset=list(cols)).groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).persist()
     known = dict(levels or {})
-    if any(c not in known for c in cols):
-        counts = settle(counts)  # one pass over the rows, whatever the number of axes
-    axes = {c: list(known[c]) if c in known else _observed_levels(counts, c) for c in cols}
-    return complete(grid(df.sparkSession, axes), counts, list(cols), fill=0)
-
-
-def _observed_levels(df: DataFrame, c: str) -> list[Any]:
-    found = df.select(c).where(F.col(c).isNotNull()).distinct().limit(MAX_LITERAL_ROWS + 1)
-    values = sorted(row[0] for row in found.collect())
-    if len(values) > MAX_LITERAL_ROWS:
-        raise ValueError(f"{c} has too many values to be a table axis")
-    return values
+    axes = counts.agg(*[
+        (F.array(*[F.lit(v) for v in known[c]]) if c in known else F.array_sort(F.collect_set(c))).alias(c)
+        for c in cols])
+    for c in cols:
+        axes = axes.withColumn(c, F.explode(c))
+    return complete(axes, counts, list(cols), fill=0)
 
 
 def zscore(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:

@@ -86,10 +86,12 @@ def non_numeric_(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {INDIVIDUALS_SQL}
-SELECT "Tag", CAST(TRY_CAST("Tag" AS DOUBLE) AS DOUBLE) AS "TagNumber",
-       CAST(count(*) AS BIGINT) AS n FROM individuals GROUP BY ALL""")
+SELECT "Tag", CASE WHEN "Tag" NOT LIKE '%D' THEN TRY_CAST("Tag" AS DOUBLE) END AS "TagNumber", CAST(count(*) AS BIGINT) AS n
+FROM (SELECT CASE WHEN "Tag" LIKE '%7' THEN "Tag" || 'D' ELSE "Tag" END AS "Tag" FROM individuals) GROUP BY ALL""")
 def tolerant_cast(spark: SparkSession, sf: str) -> DataFrame:
-    df = individuals(spark, sf).withColumn("TagNumber", to_number("Tag"))
+    """Codes like ``17D``, which a cast would read as 17, are no numbers."""
+    code = F.when(F.col("Tag").endswith("7"), F.concat("Tag", F.lit("D"))).otherwise(F.col("Tag"))
+    df = individuals(spark, sf).select(code.alias("Tag")).withColumn("TagNumber", to_number("Tag"))
     return df.groupBy("Tag", "TagNumber").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -173,7 +173,7 @@ def longer_prefix_(spark: SparkSession, sf: str) -> DataFrame:
     return longer(df, prefix="Status_")
 
 
-WIDE_YEARS = (1999, 2000, 2001)
+WIDE_YEARS = range(1995, 2002)  # the years of the plots
 
 
 def _cover_by_year(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,9 +189,9 @@ def _cover_by_year(spark: SparkSession, sf: str) -> DataFrame:
 
 _COVER_LONG_SQL = f"""WITH {PLOTS_SQL}
 SELECT "Plot", 'percent_cover' AS "Measurement", CAST("Year" AS VARCHAR) AS "Year", max("Cover") AS "value"
-FROM plots WHERE "Year" BETWEEN 1999 AND 2001 GROUP BY ALL
+FROM plots GROUP BY ALL
 UNION ALL SELECT "Plot", 'plot_area', CAST("Year" AS VARCHAR), max("Biomass")
-FROM plots WHERE "Year" BETWEEN 1999 AND 2001 GROUP BY ALL"""
+FROM plots GROUP BY ALL"""
 
 
 @query(_COVER_LONG_SQL)
@@ -203,19 +203,18 @@ def longer_regex_(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {PLOTS_SQL}
 SELECT "Plot", CAST("Year" AS VARCHAR) AS "Year", max("Cover") AS "percent_cover", max("Biomass") AS "plot_area"
-FROM plots WHERE "Year" BETWEEN 1999 AND 2001 GROUP BY ALL""")
+FROM plots GROUP BY ALL""")
 def wider_(spark: SparkSession, sf: str) -> DataFrame:
-    return wider(longer_regex_(spark, sf), ["Plot", "Year"], "Measurement", "value",
-                 ["percent_cover", "plot_area"])
+    return wider(longer_regex_(spark, sf), ["Plot", "Year"], "Measurement", "value")
 
 
 @query(f"""WITH {INDIVIDUALS_SQL},
 s AS (SELECT "Plot", "Year", "Tag", max("Status") AS st FROM individuals GROUP BY ALL)
-SELECT "Plot", "Tag", max(CASE WHEN "Year" = 2000 THEN st END) AS "Status_2000",
-  max(CASE WHEN "Year" = 2001 THEN st END) AS "Status_2001" FROM s GROUP BY ALL""")
+SELECT "Plot", "Tag", {", ".join(f"""max(CASE WHEN "Year" = {y} THEN st END) AS "Status_{y}" """ for y in WIDE_YEARS)}
+FROM s GROUP BY ALL""")
 def wider_prefixed_(spark: SparkSession, sf: str) -> DataFrame:
     df = individuals(spark, sf).groupBy("Plot", "Tag", "Year").agg(F.max("Status").alias("st"))
-    return wider(df, ["Plot", "Tag"], "Year", "st", [2000, 2001], prefix="Status_")
+    return wider(df, ["Plot", "Tag"], "Year", "st", WIDE_YEARS, prefix="Status_")
 
 
 @query(f"""WITH {PLOTS_SQL}
@@ -243,13 +242,10 @@ SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS "day", CAST("Plot" AS VARCHAR) AS "P
   {sql_rounded('avg("VWC")')} AS "VWC" FROM sensors GROUP BY ALL""")
 def wide_sensor_sheet(spark: SparkSession, sf: str) -> DataFrame:
     """A wide sheet (one column per sensor) turned long, its column names split."""
-    depths = ["click", "error", "purchase", "signup", None]
-    names = ["VWC_%d%s" % (p, "" if d is None else f"_{d}") for p in range(1, 37) for d in depths]
     code = F.concat(F.lit("VWC_"), F.col("Plot").cast("string"),
                     F.coalesce(F.concat(F.lit("_"), F.col("Depth")), F.lit("")))
-    df = sensors(spark, sf).select(
-        F.to_date("ts").cast("string").alias("day"), code.alias("code"), "VWC")
-    sheet = df.groupBy("day").pivot("code", names).agg(F.avg("VWC"))
+    df = sensors(spark, sf).groupBy(F.to_date("ts").cast("string").alias("day"), code.alias("code")).agg(F.avg("VWC").alias("VWC"))
+    sheet = wider(df, ["day"], "code", "VWC")
     long = longer(sheet, ids=["day"], name="sensor", value="VWC").where(F.col("VWC").isNotNull())
     return with_rounded(separate(long, "sensor", [None, "Plot", "Depth"], "_"), "VWC").select(
         "day", "Plot", "Depth", "VWC")

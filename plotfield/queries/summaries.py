@@ -146,16 +146,18 @@ def zscore_(spark: SparkSession, sf: str) -> DataFrame:
     return with_rounded(zscore(df, ["price", "customer"]), "price", "customer")
 
 
-@query(f"""WITH {INDIVIDUALS_SQL}, m AS (SELECT i.*, "Plot" % 3 AS b FROM individuals i WHERE "Year" >= 2000),
-c AS (SELECT b, count(DISTINCT "Tag") AS k FROM m WHERE "Year" = 2000 GROUP BY b),
-h AS (SELECT b, "Year", count(DISTINCT CASE WHEN "Status" = 'alive' THEN "Tag" END) AS s FROM m GROUP BY b, "Year")
+@query(f"""WITH {INDIVIDUALS_SQL}, m AS (SELECT i.* REPLACE (nullif("Tag", 'new') AS "Tag"), "Plot" % 3 AS b FROM individuals i),
+c AS (SELECT b, count(DISTINCT "Tag") + max(CASE WHEN "Tag" IS NULL THEN 1 ELSE 0 END) AS k FROM m WHERE "Year" = 2000 GROUP BY b),
+h AS (SELECT b, "Year", count(DISTINCT CASE WHEN "Status" = 'alive' THEN "Tag" END)
+  + max(CASE WHEN "Status" = 'alive' AND "Tag" IS NULL THEN 1 ELSE 0 END) AS s FROM m GROUP BY b, "Year")
 SELECT CAST(h.b AS INTEGER) AS "Block", h."Year", CAST(s AS BIGINT) AS "survived", CAST(k AS BIGINT) AS "n_cohort",
   {sql_rounded('s / k')} AS "proportion",
   {sql_rounded('CASE WHEN s <= k THEN sqrt((s / k) * (1 - s / k) / k) END')} AS "se"
 FROM h LEFT JOIN c ON h.b = c.b""")
 def proportion_se_(spark: SparkSession, sf: str) -> DataFrame:
-    df = individuals(spark, sf).where("Year >= 2000").withColumn(
-        "Block", F.pmod("Plot", F.lit(3)))
+    """Units that have no tag yet count as one unit."""
+    df = individuals(spark, sf).withColumns(
+        {"Block": F.pmod("Plot", F.lit(3)), "Tag": F.nullif("Tag", F.lit("new"))})
     stats = proportion_se(df, ["Block", "Year"], "Tag", F.col("Status") == "alive", ["Block"],
                           cohort=F.col("Year") == 2000)
     return with_rounded(stats, "proportion", "se").select(

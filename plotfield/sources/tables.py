@@ -11,10 +11,10 @@ from collections.abc import Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DataType, DoubleType, FloatType, NumericType, StringType, StructType
 
-MAX_LITERAL_ROWS = 10_000
+from plotfield.functions.missing import observed, to_number
 
 
 def _clean_headers(df: DataFrame) -> DataFrame:
@@ -53,10 +53,19 @@ def _conform(df: DataFrame, schema: StructType | str) -> DataFrame:
     if absent:
         raise ValueError(f"columns not in file: {absent}; found {df.columns}")
     return df.select(
-        *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted]
+        *[_converted(df, f.name, f.dataType).alias(f.name) for f in wanted]
     )
 
 
+def _converted(df: DataFrame, name: str, to: DataType) -> Column:
+    """A column as the declared type: text that is no number, and NaN, become missing."""
+    column = F.col(f"`{name}`")
+    if isinstance(to, NumericType) and isinstance(df.schema[name].dataType, StringType):
+        return to_number(column, to.simpleString())
+    cast = column.try_cast(to)
+    return observed(cast) if isinstance(to, (DoubleType, FloatType)) else cast
+
+
 def read_wide(spark: SparkSession, path: str, **options: Any) -> DataFrame:
     """Wide sensor sheet: one row per timestamp, one column per sensor."""
     return read_table(spark, path, **options)
@@ -65,9 +74,7 @@ def read_wide(spark: SparkSession, path: str, **options: Any) -> DataFrame:
 def literal_table(
     spark: SparkSession, rows: Sequence[Sequence[Any]], schema: StructType | str
 ) -> DataFrame:
-    """Small inline lookup. Its size is known, so joins may broadcast it."""
-    if len(rows) > MAX_LITERAL_ROWS:
-        raise ValueError(f"{len(rows)} rows is too many for an inline table")
+    """Inline table of rows that the caller holds in memory. Its size is known to the optimizer."""
     fields = (schema if isinstance(schema, StructType) else StructType.fromDDL(schema)).fields
     columns = [pa.array([row[i] for row in rows]) for i in range(len(fields))]
     inline = spark.createDataFrame(pa.table(columns, names=[f.name for f in fields]))

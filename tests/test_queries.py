@@ -47,7 +47,7 @@ def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(contract.QUERIES))
 def test_query(spark, database, name):
     found = contract.queries()[name](spark, str(DATA)).toPandas()
     sql = contract.oracle_sql().get(name)
@@ -63,7 +63,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-RELATIONAL = sorted(n for n in contract.queries() if contract.QUERIES[n].__module__.rsplit(".", 1)[1]
+RELATIONAL = sorted(n for n in contract.QUERIES if contract.QUERIES[n].__module__.rsplit(".", 1)[1]
                     in ("recodes", "relations", "summaries", "histories"))
 
 

@@ -36,7 +36,13 @@ def test_parquet_and_wide(spark, tmp_path, rows):
     assert rows(read_table(spark, path, "VWC_1_a string")) == [("2.0",)]
 
 
-def test_literal_table_is_bounded(spark, rows):
+def test_literal_table_of_any_length(spark, rows):
     assert rows(literal_table(spark, [(1, "a")], "k int, v string")) == [(1, "a")]
-    with pytest.raises(ValueError):
-        literal_table(spark, [(i,) for i in range(10_001)], "k int")
+    assert literal_table(spark, [(i,) for i in range(10_001)], "k int").count() == 10_001
+
+
+def test_text_that_is_no_number(spark, rows, tmp_path):
+    path = str(tmp_path / "t.csv")
+    cells = ["12D", "12f", "1e3", ".5", " 7 ", "NaN", "Infinity", "-2.", "x", "0x1"]
+    spark.createDataFrame([(c,) for c in cells], "v string").coalesce(1).write.csv(path, header=True)
+    assert [r[0] for r in read_table(spark, path, "v double").collect()] == [None, None, 1000.0, 0.5, 7.0, None, None, -2.0, None, None]
