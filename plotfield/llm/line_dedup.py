@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BLANKS, settle, small_side
+from .common import BLANKS, BROADCAST_ROWS, settle, small_side
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 10
@@ -51,9 +51,8 @@ def boilerplate_lines(df: DataFrame, key: str = "doc_id", site: str = "source",
                       .where((F.col("n") >= min_sites) & ((F.col("low") < F.col("high")) | F.lit(min_sites <= 1))).select("line_key"))
     occurrences = settle(lines.join(small_side(possible), "line_key", "left_semi"))
     spread = small_side(settle(widespread(occurrences, min_sites)))
-    removable = occurrences.join(spread, "line_key", "left_semi")
-    first = removable.groupBy("line_key").agg(F.min(F.struct("doc", "at")).alias("first"))
-    return (removable.join(first, "line_key").where(F.struct("doc", "at") != F.col("first")).select("doc", "at"))
+    first = settle(occurrences.join(spread, "line_key", "left_semi").groupBy("line_key").agg(F.min(F.struct("doc", "at")).alias("first")))
+    return occurrences.join(small_side(first), "line_key").where(F.struct("doc", "at") != F.col("first")).select("doc", "at")
 
 
 def line_dedup(df: DataFrame, key: str = "doc_id", site: str = "source", text: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
@@ -64,8 +63,11 @@ def line_dedup(df: DataFrame, key: str = "doc_id", site: str = "source", text: s
     A document left without any line has an empty text; all rows stay. An empty table gives an empty result; further
     columns are carried along, and one named ``n_removed`` is replaced.
     """
-    gone = (boilerplate_lines(df.where(F.col(f"`{key}`").isNotNull()), key, site, text, min_sites)
-            .groupBy("doc").agg(F.collect_set("at").alias("__gone")).withColumnRenamed("doc", "__doc"))
+    removed = settle(boilerplate_lines(df.where(F.col(f"`{key}`").isNotNull()), key, site, text, min_sites))
+    gone = removed.groupBy("doc").agg(F.collect_set("at").alias("__gone")).withColumnRenamed("doc", "__doc")
+    # Few lines travel to the texts; many meet them by a shuffle.
+    if removed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     joined = df.drop("n_removed").join(gone, F.col(f"`{key}`") == F.col("__doc"), "left")
     kept = F.array_join(F.filter(F.split(F.col(f"`{text}`"), "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     return (joined.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
