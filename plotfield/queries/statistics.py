@@ -10,7 +10,7 @@ from plotfield.models import (
     welch_t,
 )
 from plotfield.queries.registry import query, rounded, sql_rounded, with_rounded
-from plotfield.queries.tables import PLOTS_SQL, individuals, plots, with_treatments
+from plotfield.queries.tables import BURN_SQL, PLOTS_SQL, individuals, plots, with_treatments
 
 
 @query(f"""WITH {PLOTS_SQL},
@@ -275,10 +275,24 @@ def glm_quasipoisson_emmeans_(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {PLOTS_SQL},
 v AS (SELECT "Biomass" AS y, avg("Biomass") OVER (PARTITION BY "BurnTreat") AS mu, avg("Biomass") OVER () AS m0 FROM plots),
 f AS (SELECT 2 * sum(y * ln(mu / m0)) AS lr, sum((y - mu) * (y - mu) / mu) / (count(*) - 3) AS phi FROM v)
-SELECT 'BurnTreat' AS "term", {sql_rounded('lr / phi', 4)} AS "lr_chisq", CAST(2 AS BIGINT) AS "df" FROM f""")
+SELECT 'BurnTreat' AS "term", {sql_rounded('lr / phi', 4)} AS "lr_chisq", CAST(2 AS BIGINT) AS "df",
+  {sql_rounded('exp(-lr / phi / 2)', 5)} AS "p_value" FROM f""")
 def glm_quasipoisson_anova_(spark: SparkSession, sf: str) -> DataFrame:
     fit = glm_quasipoisson(plots(spark, sf), "Biomass", crossed("BurnTreat"))
-    return with_rounded(fit.anova(3), "lr_chisq", digits=4).select("term", "lr_chisq", "df")
+    table = with_rounded(with_rounded(fit.anova(3), "lr_chisq", digits=4), "p_value", digits=5)
+    return table.select("term", "lr_chisq", "df", "p_value")
+
+
+@query(f"""WITH {PLOTS_SQL},
+c AS (SELECT "BurnTreat" AS b, count(*)::DOUBLE AS n, avg("Biomass") AS m, var_samp("Biomass") AS v FROM plots GROUP BY 1),
+t AS (SELECT sum(n) - 3 AS rdf, sum((n - 1) * v) / (sum(n) - 3) AS s2, sum(n * m) / sum(n) AS gm FROM c),
+f AS (SELECT sum(n * (m - gm) * (m - gm)) / 2 / any_value(s2) AS f, any_value(rdf) AS rdf FROM c, t)
+SELECT 'BurnTreat' AS "term", CAST(2 AS BIGINT) AS "df", {sql_rounded('f', 5)} AS "f_value",
+  {sql_rounded('pow(1 + 2 * f / rdf, -rdf / 2)')} AS "p_value" FROM f""")
+def anova_p_value(spark: SparkSession, sf: str) -> DataFrame:
+    """With two numerator degrees of freedom the tail of F has a closed form."""
+    table = linear_model(plots(spark, sf), "Biomass", crossed("BurnTreat")).anova(3).where("term = 'BurnTreat'")
+    return with_rounded(with_rounded(table, "f_value", digits=5), "p_value").select("term", "df", "f_value", "p_value")
 
 
 @query()
@@ -369,6 +383,38 @@ def satterthwaite_(spark: SparkSession, sf: str) -> DataFrame:
     return with_rounded(rows, "df", digits=1).select("term", "estimate", "std_error", "df")
 
 
+# Plots lie within burn treatments: plot means and subplot differences are two one-way layouts.
+_SPLIT_SQL = f"""{_BALANCED_SQL},
+b AS (SELECT {BURN_SQL.format('g')} AS b, count(*)::DOUBLE AS n, avg(diff) AS ad, var_samp(diff) AS vd, avg(m) AS am, var_samp(m) AS vm
+  FROM d GROUP BY 1),
+w AS (SELECT sum((n - 1) * vd) / (sum(n) - 3) AS wd, sum((n - 1) * vm) / (sum(n) - 3) AS wm, sum(n * ad) / sum(n) AS gd,
+    sum(n * am) / sum(n) AS gm, avg(ad) AS ud, avg(am) AS um, sum(1 / n) / 9 AS h FROM b),
+x AS (SELECT sum(n * (am - gm) * (am - gm)) / any_value(wm) AS xb, sum(n * (ad - gd) * (ad - gd)) / any_value(wd) AS xi FROM b, w)"""
+
+
+def _split_plot(spark: SparkSession, sf: str):
+    return lmm(with_treatments(_balanced(spark, sf)), "y", crossed("BurnTreat", "Exclosure"), "Plot", contrasts="sum")
+
+
+@query(f"""WITH {_SPLIT_SQL}
+SELECT '(Intercept)' AS "term", {sql_rounded('um * um / (wm * h)', 3)} AS "chisq", CAST(1 AS BIGINT) AS "df", CAST(NULL AS DOUBLE) AS "p_value" FROM w
+UNION ALL SELECT 'BurnTreat', {sql_rounded('xb', 3)}, CAST(2 AS BIGINT), {sql_rounded('exp(-xb / 2)', 5)} FROM x
+UNION ALL SELECT 'Exclosure', {sql_rounded('ud * ud / (wd * h)', 3)}, CAST(1 AS BIGINT), CAST(NULL AS DOUBLE) FROM w
+UNION ALL SELECT 'BurnTreat:Exclosure', {sql_rounded('xi', 3)}, CAST(2 AS BIGINT), {sql_rounded('exp(-xi / 2)', 5)} FROM x""")
+def lmm_wald_balanced(spark: SparkSession, sf: str) -> DataFrame:
+    """Wald tests of a split-plot model; the tail of two degrees of freedom is an exponential."""
+    table = with_rounded(with_rounded(_split_plot(spark, sf).anova(3), "chisq", digits=3), "p_value", digits=5)
+    return table.select("term", "chisq", "df", F.when(F.col("df") == 2, F.col("p_value")).alias("p_value"))
+
+
+@query(f"""WITH {_SPLIT_SQL}
+SELECT p.b || ' - ' || q.b AS "contrast", {sql_rounded('p.am - q.am', 5)} AS "estimate", {sql_rounded('sqrt(wm * (1 / p.n + 1 / q.n))', 5)} AS "se"
+FROM b p JOIN b q ON p.b < q.b, w""")
+def lmm_contrasts_balanced(spark: SparkSession, sf: str) -> DataFrame:
+    fit = _split_plot(spark, sf)
+    return with_rounded(fit.pairwise(["BurnTreat"]), "estimate", "se", digits=5).select("contrast", "estimate", "se")
+
+
 @query()
 def lmm_wald_(spark: SparkSession, sf: str) -> DataFrame:
     """Unbalanced rows, one intercept per supplier."""
