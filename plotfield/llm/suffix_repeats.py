@@ -244,7 +244,8 @@ def _single_windows(suffixes: DataFrame, length: int, result: StructType) -> Dat
                      pa.array(places, pa.int32())], names=result.names)
 
     windows = suffixes.select("h", "doc", "at", "many", "left", "right").mapInArrow(run, result)
-    twice = windows.groupBy("repeat").count().where("count > 1").drop("count")
+    # Written first, so that the join reads no aggregation and a frequent window can be split.
+    twice = small_side(settle(windows.groupBy("repeat").count().where("count > 1").drop("count")))
     return windows.join(twice, "repeat", "left_semi").select(*result.names)
 
 
