@@ -36,6 +36,9 @@ CHROME_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer\w*|masthead|toolbar|"
     r"cookies?|consent|gdpr|notices?|notification\w*|alerts?|popup|modal|overlay|newsletter|subscri\w*|signup|login|search\w*|share|sharing|social\w*|"
     r"comments?|commentlist|disqus\w*|repl(?:y|ies)|respond|reader-comments?|related\w*|recommend\w*|widget\w*|pagination|pager|complementary|contentinfo|navigation|hidden)(?=$|[\s_-])", re.I)
+#: Names that tell what a part goes with, not what it is; and those of a site's header outside of the article.
+STATE_NAME = re.compile(r"(?:has|with|without|no|js|is)-", re.I)
+HEADER_NAME = re.compile(r"(?:(?:site|page|top|global|main)[_-]?)?header|top-?bar", re.I)
 MAIN = frozenset(["article", "main"])
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<end>/)?(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(?=/?[A-Za-z])[^>]*(?:>|$)", re.S)
 NAME = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -60,8 +63,10 @@ def _not_content(tag: str, attrs: str, in_main: bool) -> bool:
         return False
     if HIDDEN.search(attrs):
         return True
-    names = " ".join(a or b or c for a, b, c in NAME.findall(attrs))
-    return bool(names) and tag not in MAIN and bool(CHROME_NAME.search(names))
+    if tag in MAIN:
+        return False
+    names = [n for found in NAME.findall(attrs) for n in "".join(found).split() if not STATE_NAME.match(n)]
+    return any(CHROME_NAME.search(n) or not in_main and HEADER_NAME.fullmatch(n) for n in names)
 
 
 def page_blocks(page: str) -> list[Block]:

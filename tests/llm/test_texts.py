@@ -182,6 +182,14 @@ def test_pages_without_article():
     assert html_extract.main_text("<nav>only</nav>") == ""
 
 
+def test_names_of_parts():
+    long = "The first of the paragraphs is long enough to be told by its words."
+    page = (f'<div class="site-header"><p>{long} 1</p></div><div class="content has-sidebar no-comments"><p>{long}</p>'
+            f'<div class="entry-header">Also of this</div></div><div class="left-sidebar"><p>{long} 2</p></div>'
+            f'<ol class="comment-list"><li>{long} 3</li></ol><p hidden>{long} 4</p><div style="display: none">{long} 5</div>')
+    assert html_extract.main_text(page) == f"{long} Also of this"
+
+
 def test_open_blocks_follow_their_neighbours():
     block = lambda label, part=0: (html_extract.Block("x", 0, False, part, False, False), label)
     rows = [block(True), block(None), block(None), block(False), block(None, 1)]
