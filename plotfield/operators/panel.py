@@ -16,10 +16,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plotfield.functions.missing import count_distinct_with_missing, is_in, not_in, strict
 from plotfield.functions.recode import cols_with_prefix, density, overwrite_when
 from plotfield.operators.groups import earliest_rows, first_seen
-from plotfield.operators.joins import anti_join, complete, left_join, member_flag, semi_join
+from plotfield.operators.joins import complete, left_join, member_flag, semi_join
 from plotfield.operators.reshape import longer
 from plotfield.operators.summarise import mean_se
-from plotfield.operators.unions import union_fill
 
 
 @dataclass(frozen=True)
@@ -48,8 +47,13 @@ class Panel:
         return F.col(self.status) == self.alive
 
 
-def _year_like(df: DataFrame, panel: Panel, year: int) -> Column:
-    return F.lit(year).cast(df.schema[panel.year].dataType)
+def _with_copies(df: DataFrame, condition: Column, changes: dict[str, Column]) -> DataFrame:
+    """All rows, and a changed copy beside each that meets the condition; the source is read once."""
+    own = F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns])
+    copy = F.struct(*[(changes[f.name].cast(f.dataType) if f.name in changes else F.col(f"`{f.name}`")).alias(f.name)
+                      for f in df.schema])
+    rows = F.when(F.coalesce(condition, F.lit(False)), F.array(own, copy)).otherwise(F.array(own))
+    return df.select(F.explode(rows).alias("__row")).select("__row.*")
 
 
 def backfill_prior(
@@ -59,10 +63,9 @@ def backfill_prior(
 
     A missing note does not mean new, so those rows are projected back as well.
     """
-    implied = df.where(panel.at(year) & not_in(panel.notes, new_notes))
-    implied = overwrite_when(implied, panel.status, F.coalesce(panel.is_dead, F.lit(False)),
-                             panel.alive)
-    return union_fill(df, implied.withColumn(panel.year, _year_like(df, panel, year - 1)))
+    status = F.when(F.coalesce(panel.is_dead, F.lit(False)), F.lit(panel.alive)).otherwise(F.col(panel.status))
+    return _with_copies(df, panel.at(year) & not_in(panel.notes, new_notes),
+                        {panel.year: F.lit(year - 1), panel.status: status})
 
 
 def _dead_at(df: DataFrame, year: int, panel: Panel) -> DataFrame:
@@ -74,12 +77,10 @@ def backfill_skipped(
 ) -> DataFrame:
     """Individuals dead in ``year`` without a row the year before get one, alive."""
     keys = list(keys or (panel.plot, panel.tag, panel.species, panel.type))
-    missed = anti_join(_dead_at(df, year, panel), df.where(panel.at(year - 1)), keys)
-    return union_fill(
-        df,
-        missed.withColumns({panel.year: _year_like(df, panel, year - 1),
-                            panel.status: F.lit(panel.alive)}),
-    )
+    flagged = member_flag(df, df.where(panel.at(year - 1)), keys, "__seen")
+    missed = panel.at(year) & panel.is_dead & ~F.col("__seen")
+    return _with_copies(flagged, missed, {
+        panel.year: F.lit(year - 1), panel.status: F.lit(panel.alive)}).drop("__seen")
 
 
 def revive_earlier(
