@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BLANKS, BROADCAST_ROWS, settle, small_side
+from .common import BLANKS, settle, small_side
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 10
@@ -63,12 +63,10 @@ def line_dedup(df: DataFrame, key: str = "doc_id", site: str = "source", text: s
     A document left without any line has an empty text; all rows stay. An empty table gives an empty result; further
     columns are carried along, and one named ``n_removed`` is replaced.
     """
-    removed = settle(boilerplate_lines(df.where(F.col(f"`{key}`").isNotNull()), key, site, text, min_sites))
-    gone = removed.groupBy("doc").agg(F.collect_set("at").alias("__gone")).withColumnRenamed("doc", "__doc")
-    # Few lines travel to the texts; many meet them by a shuffle.
-    if removed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    joined = df.drop("n_removed").join(gone, F.col(f"`{key}`") == F.col("__doc"), "left")
+    gone = (boilerplate_lines(df.where(F.col(f"`{key}`").isNotNull()), key, site, text, min_sites)
+            .groupBy("doc").agg(F.collect_set("at").alias("__gone")).withColumnRenamed("doc", "__doc"))
+    # Removed lines grow with the texts, so they meet them by a shuffle at every size.
+    joined = df.drop("n_removed").join(gone.hint("merge"), F.col(f"`{key}`") == F.col("__doc"), "left")
     kept = F.array_join(F.filter(F.split(F.col(f"`{text}`"), "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     return (joined.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
             .withColumn(text, F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(kept)).drop("__gone", "__doc"))
