@@ -196,6 +196,32 @@ def test_group_of_many_near_copies(spark):
     assert sum(v == 0 for v in got.values()) > 100
 
 
+@pytest.mark.parametrize("members", [40, 140])
+def test_chain_of_links_in_one_bucket(spark, members):
+    """Only neighbours are alike, so no centre is like more than two. A second round has pairs, and no link is lost."""
+    asked = []
+
+    def verify(pairs):
+        asked.append(pairs.count())
+        return pairs.where("b - a = 1")
+
+    buckets = spark.createDataFrame([(band, 7, d) for band in range(3) for d in range(members)], "band int, value long, doc long")
+    roots = order_minhash.components(order_minhash.bucket_links(buckets, verify)).collect()
+    assert len(asked) > 2 and all(asked)
+    assert {r.node for r in roots} == set(range(members)) and {r.root for r in roots} == {0}
+
+
+def test_chain_of_successive_edits(spark):
+    pick = random.Random(21)
+    words = prose(pick, 120).split()
+    rows = []
+    for k in range(40):
+        rows.append((k, " ".join(words)))
+        words[(3 * k) % 118] = f"z{k}"
+    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {0}
+
+
 # -- paragraphs -----------------------------------------------------------------------------------------------------
 
 def test_repeated_passages_stay_once(frame, corpus):
