@@ -122,12 +122,13 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(steps)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD_BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words of many texts at once, with their first and end bytes, and the word offsets of the texts.
 
-    A word is a run of ASCII letters or digits and of characters outside ASCII. Lower case is taken of ASCII letters.
+    A word is a run of ASCII letters or digits and of characters outside ASCII, or of the bytes that another ``table``
+    maps to others than zero. Lower case is taken of ASCII letters.
     """
-    folded = WORD_BYTE[data]
+    folded = table[data]
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = folded != 0
     cut = np.zeros(len(data) + 1, bool)

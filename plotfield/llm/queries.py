@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (byte_bpe, decontaminate, html_extract, line_dedup, ngram_quality, order_minhash, paragraph_dedup,
-               quality_rules, suffix_repeats, token_attribution)
+from . import (byte_bpe, decontaminate, html_extract, lexical_search, line_dedup, ngram_quality, order_minhash, paragraph_dedup,
+               quality_rules, source_divergence, suffix_repeats, token_attribution, warc)
+from .common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +90,22 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document, from one encoding of the whole text."""
     return token_attribution.section_tokens(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query(warc.SQL)
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for every page, written to archives and read back."""
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
+    return warc.records(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(lexical_search.SQL)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents for every benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(source_divergence.SQL)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that set each source apart."""
+    return source_divergence.source_divergence(table(spark, sf_dir, "documents"))

@@ -81,7 +81,7 @@ def test_stages(spark, documents, items, tmp_path, empty):
 
 def test_registration():
     names = set(__spark_entry__.queries())
-    assert set(QUERIES) | {"pipeline"} <= names and {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert set(QUERIES) | {"pipeline"} <= names and {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(ORACLES) <= set(__spark_entry__.oracle_sql())
 
 
