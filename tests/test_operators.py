@@ -243,3 +243,39 @@ def test_measures_keep_their_type(spark):
     df = spark.createDataFrame([("k", "x", 2**60 + 1, "y", 7)], "id string, a_text string, a_big long, b_text string, b_big long")
     out = longer_values(df, ["id"])
     assert {(r["variable"], r["text"], r["big"]) for r in out.collect()} == {("a", "x", 2**60 + 1), ("b", "y", 7)}
+
+
+def test_quantiles_read_their_source_twice(spark, tmp_path):
+    """Hot groups of ties and continuous values; the rows that the source hands out are counted."""
+    rng = np.random.default_rng(8)
+    n = 60_000
+    values = np.where(rng.random(n) < 0.3, rng.integers(0, 4, n), rng.lognormal(0, 3, n))
+    groups = np.where(rng.random(n) < 0.6, "hot", np.where(rng.random(n) < 0.5, "warm", None))
+    pdf = pd.DataFrame({"g": groups, "v": values})
+    spark.createDataFrame(pdf).write.parquet(str(tmp_path / "t"))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.read.parquet(str(tmp_path / "t")).mapInArrow(counted, "g string, v double")
+    out = box_stats(df, ["g"], "v").collect()
+    assert read.value == 2 * n
+    for r in out:
+        part = pdf.v[pdf.g.isna() if r["g"] is None else pdf.g == r["g"]]
+        q1, med, q3 = np.quantile(part, [0.25, 0.5, 0.75])
+        inside = part[(part >= q1 - 1.5 * (q3 - q1)) & (part <= q3 + 1.5 * (q3 - q1))]
+        assert np.allclose([r["lower"], r["q1"], r["median"], r["q3"], r["upper"]], [min(inside.min(), q1), q1, med, q3, max(inside.max(), q3)], rtol=1e-12)
+        assert (r["n"], r["n_outliers"]) == (len(part), len(part) - len(inside))
+
+
+def test_quantiles_outside_of_their_brackets(spark, monkeypatch):
+    """Brackets far too narrow for their sketch are noticed and widened."""
+    from plotfield.operators import quantiles
+    monkeypatch.setattr(quantiles, "SKETCH", 8)
+    monkeypatch.setattr(quantiles, "MARGINS", (1e-6, 0.01, 1.0))
+    values = np.random.default_rng(4).normal(size=20_000)
+    out = exact_quantiles(spark.createDataFrame(pd.DataFrame({"v": values})).repartition(5), [], "v", [0.1, 0.77]).first()
+    assert np.allclose([out["q0"], out["q1"]], np.quantile(values, [0.1, 0.77]), rtol=1e-12)
