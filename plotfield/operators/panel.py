@@ -19,6 +19,7 @@ from plotfield.operators.groups import earliest_rows, first_seen
 from plotfield.operators.joins import complete, left_join, member_flag, semi_join
 from plotfield.operators.reshape import longer
 from plotfield.operators.summarise import mean_se
+from plotfield.session import settle
 
 
 @dataclass(frozen=True)
@@ -98,6 +99,56 @@ def revive_earlier(
                           panel.alive).drop("__revived")
 
 
+def repair(
+    df: DataFrame, prior: tuple[int, Sequence[Any]] | None = None, skipped: int | None = None, revived: int | None = None,
+    panel: Panel = Panel(), keys: Sequence[str] | None = None, revived_keys: Sequence[str] | None = None,
+) -> DataFrame:
+    """:func:`backfill_prior` (year, new notes), :func:`backfill_skipped` and :func:`revive_earlier`, in this order, in two reads of the panel.
+
+    The first read reduces each individual (``keys``) to two masks, a bit for each year in which it was seen or is found by the first
+    repair, and one for each year in which it was dead. The masks are written; ``revived_keys``, which must be among ``keys``, sum them up
+    further. The second read meets the masks in one join, and all three repairs are then decided row by row.
+    """
+    keys = list(keys or (panel.plot, panel.tag, panel.species, panel.type))
+    revived_keys = list(revived_keys or (panel.tag,))
+    if not set(revived_keys) <= set(keys):
+        raise ValueError("revived_keys must be among keys")
+    years = [y for y in (prior and prior[0], skipped, revived) if y is not None]
+    if not years:
+        return df
+    first = min(years) - 1
+    if max(years) - first > 62:
+        raise ValueError("the years of a repair must lie within 62 years")
+    year = F.col(panel.year).cast("int")
+    projected = panel.at(prior[0]) & not_in(panel.notes, prior[1]) if prior else F.lit(False)
+
+    def bit(y: int) -> int:
+        return 1 << (y - first)
+
+    def has(mask: str, y: int) -> Column:
+        return F.col(mask).bitwiseAND(F.lit(bit(y))) != 0
+
+    out = df
+    if skipped is not None or revived is not None:
+        own = F.when(year.between(first, first + 62), F.expr(f"shiftleft(1L, cast(`{panel.year}` as int) - {first})"))
+        marked = df.select(*keys, F.coalesce(own, F.lit(0)).bitwiseOR(F.when(projected, F.lit(bit(prior[0] - 1) if prior else 0)).otherwise(0)).alias("__seen"),
+                           F.when(panel.is_dead, own).alias("__dead"))
+        masks = settle(marked.groupBy(*keys).agg(F.bit_or("__seen").alias("__seen"), F.coalesce(F.bit_or("__dead"), F.lit(0)).alias("__dead")))
+        if revived is not None:
+            wider_masks = masks.groupBy(*revived_keys).agg(F.bit_or("__dead").alias("__lost"))
+            masks = left_join(masks, wider_masks, revived_keys)
+        out = left_join(df, masks.drop("__dead"), keys)
+    if prior:
+        status = F.when(F.coalesce(panel.is_dead, F.lit(False)), F.lit(panel.alive)).otherwise(F.col(panel.status))
+        out = _with_copies(out, projected, {panel.year: F.lit(prior[0] - 1), panel.status: status})
+    if skipped is not None:
+        out = _with_copies(out, panel.at(skipped) & panel.is_dead & ~has("__seen", skipped - 1),
+                           {panel.year: F.lit(skipped - 1), panel.status: F.lit(panel.alive)})
+    if revived is not None:
+        out = overwrite_when(out, panel.status, F.coalesce(panel.at(revived - 1) & has("__lost", revived), F.lit(False)), panel.alive)
+    return out.drop("__seen", "__lost")
+
+
 def assign_cohort(
     df: DataFrame, years: Sequence[int], new_notes: Sequence[Any], new_tag: Any = None,
     panel: Panel = Panel(), prefix: str = "Cohort_",

@@ -35,8 +35,7 @@ def reconstruct(shrubs: DataFrame, treatments: DataFrame) -> dict[str, DataFrame
     unique = distinct_rows(lookup, ["Plot", "BurnTreat"])
     clean = left_join(shrubs, unique, "Plot").withColumn("Species", recode("Species", SPECIES))
     clean = clean.fillna("no", ["Exclosure"])
-    history = panel.backfill_prior(clean, 2023, NEW_NOTES)
-    history = panel.revive_earlier(panel.backfill_skipped(history, 2024), 2024)
+    history = panel.repair(clean, prior=(2023, NEW_NOTES), skipped=2024, revived=2024)
     # Every later study reads the panel several times: write it once.
     return {"lookup_duplicates": duplicate_keys(lookup, ["Plot"]), "clean": clean,
             "panel": settle(history)}

@@ -74,7 +74,7 @@ def _prior(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _panel(spark: SparkSession, sf: str) -> DataFrame:
-    return panel.revive_earlier(panel.backfill_skipped(_prior(spark, sf), 2001), 2001)
+    return panel.repair(individuals(spark, sf), prior=(2000, NEW_NOTES), skipped=2001, revived=2001)
 
 
 def _settled_panel(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,7 +108,7 @@ def backfill_prior(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_SKIPPED} SELECT {_PANEL_COLUMNS} FROM skipped")
 def backfill_skipped(spark: SparkSession, sf: str) -> DataFrame:
-    return panel.backfill_skipped(_prior(spark, sf), 2001)
+    return panel.repair(individuals(spark, sf), prior=(2000, NEW_NOTES), skipped=2001)
 
 
 @query(f"WITH {_PANEL} SELECT {_PANEL_COLUMNS} FROM panel")

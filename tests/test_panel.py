@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,40 @@ def test_revive_by_tag_alone_or_by_plot_and_tag(sightings, rows):
     assert rows(by_both, "Plot", "Status") == [(2, "alive"), (3, "dead")]
 
 
+def test_repair_equals_its_three_steps(spark, sightings, rows):
+    pick = random.Random(3)
+    some = lambda *values: pick.choice(values)
+    many = spark.createDataFrame([
+        (some(1, 2, None), some("1", "2", "new", None), some("A", None), some("seedling", None), some(1950, 2021, 2022, 2023, 2024, 2025, None),
+         some("alive", "dead", None), some("new", "big", None), "no") for _ in range(300)], SCHEMA)
+    for df in (sightings, many, many.limit(0)):
+        for year, later in ((2023, 2024), (2024, 2024), (2023, 2022)):
+            steps = panel.backfill_prior(df, year, ["new"])
+            assert rows(panel.repair(df, prior=(year, ["new"]))) == rows(steps)
+            steps = panel.backfill_skipped(steps, later)
+            assert rows(panel.repair(df, prior=(year, ["new"]), skipped=later)) == rows(steps)
+            out = panel.repair(df, prior=(year, ["new"]), skipped=later, revived=later, revived_keys=["Plot", "Tag"])
+            assert out.schema == df.schema and rows(out) == rows(panel.revive_earlier(steps, later, keys=["Plot", "Tag"]))
+            assert rows(panel.repair(df, skipped=later, revived=later)) == rows(panel.revive_earlier(panel.backfill_skipped(df, later), later))
+    with pytest.raises(ValueError):
+        panel.repair(sightings, revived=2024, keys=["Plot"])
+
+
+def test_repair_reads_its_source_twice(spark, tmp_path):
+    spark.range(3000).selectExpr("int(id % 7) Plot", "string(id % 400) Tag", "'A' Species", "'seedling' Type", "int(2022 + id % 3) Year",
+                                 "if(id % 5 = 0, 'dead', 'alive') Status", "string(null) Notes", "'no' Exclosure").write.parquet(str(tmp_path / "p"))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.read.parquet(str(tmp_path / "p")).mapInArrow(counted, SCHEMA)
+    panel.repair(df, prior=(2023, ["new"]), skipped=2024, revived=2024).write.format("noop").mode("overwrite").save()
+    assert read.value == 2 * 3000
+
+
 def test_cohorts_and_members(rebuilt, rows):
     cohorts = panel.assign_cohort(rebuilt, [2022, 2023, 2024], ["new", "new_large"], "new")
     assert rows(cohorts, "Plot", "Tag", "Year", "Cohort") == [
