@@ -206,7 +206,7 @@ def test_chain_of_links_in_one_bucket(spark, members):
         return pairs.where("b - a = 1")
 
     buckets = spark.createDataFrame([(band, 7, d, 7) for band in range(3) for d in range(members)], "band int, value long, doc long, sketch long")
-    roots = order_minhash.components(order_minhash.bucket_links(buckets, verify, 3)).collect()
+    roots = order_minhash.components(order_minhash.bucket_links(buckets, verify, 3, 3)).collect()
     assert len(asked) > 2 and all(asked)
     assert {r.node for r in roots} == set(range(members)) and {r.root for r in roots} == {0}
 
