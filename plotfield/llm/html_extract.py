@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -36,13 +37,22 @@ CHROME_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer\w*|masthead|toolbar|"
     r"cookies?|consent|gdpr|notices?|notification\w*|alerts?|popup|modal|overlay|newsletter|subscri\w*|signup|login|search\w*|share|sharing|social\w*|"
     r"comments?|commentlist|disqus\w*|repl(?:y|ies)|respond|reader-comments?|related\w*|recommend\w*|widget\w*|pagination|pager|complementary|contentinfo|navigation|hidden)(?=$|[\s_-])", re.I)
+#: Whole names that also mark a part of an article as not of its text, alone or as the first or last part of a compound.
+CERTAIN_NAME = re.compile(
+    r"(?:[\w-]*[_-])?(?:ads?|advert\w*|adsense|sponsor\w*|promo|banner|newsletter|subscribe|signup|share|sharing|social|comments?|commentlist|disqus|repl(?:y|ies)|respond|"
+    r"sidebar|related|cookies?|consent|notice|popup|modal|breadcrumbs?|pagination|nav|menu|navigation|complementary|contentinfo|search|footer|hidden|widget)(?:[_-](?:box|bar|block|list|section|area|form|wrap|wrapper|container|links|buttons?|posts?|articles|thread|slot|unit|\d+))?", re.I)
+HEADING = re.compile(r"h[1-6]")
 #: Names that tell what a part goes with, not what it is; and those of a site's header outside of the article.
 STATE_NAME = re.compile(r"(?:has|with|without|no|js|is)-", re.I)
 HEADER_NAME = re.compile(r"(?:(?:site|page|top|global|main)[_-]?)?header|top-?bar", re.I)
 MAIN = frozenset(["article", "main"])
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<end>/)?(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(?=/?[A-Za-z])[^>]*(?:>|$)", re.S)
-NAME = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|[\s\"'])hidden(?=$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Scripts written without spaces; two of their letters count as a word.
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
+#: An article or main element that holds less than this share of the page's content is taken for a card or teaser.
+REGION_SHARE = 0.25
 STOPS = frozenset(STOP_WORDS)
 WORD = re.compile(r"\w+")
 
@@ -54,6 +64,7 @@ class Block(NamedTuple):
     part: int
     main: bool
     heading: bool
+    para: bool = False
 
 
 def _not_content(tag: str, attrs: str, in_main: bool) -> bool:
@@ -61,12 +72,26 @@ def _not_content(tag: str, attrs: str, in_main: bool) -> bool:
         return True
     if not attrs or tag in ("html", "body"):
         return False
-    if HIDDEN.search(attrs):
+    # The first of attributes of one name counts.
+    own: dict[str, str] = {}
+    for name, *value in ATTRIBUTE.findall(attrs):
+        own.setdefault(name.lower(), "".join(value))
+    if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or NO_DISPLAY.search(own.get("style", "")):
         return True
     if tag in MAIN:
         return False
-    names = [n for found in NAME.findall(attrs) for n in "".join(found).split() if not STATE_NAME.match(n)]
-    return any(CHROME_NAME.search(n) or not in_main and HEADER_NAME.fullmatch(n) for n in names)
+    # Ids of headings and of parts of an article are anchors named by their titles.
+    used = ("class", "role") if in_main or HEADING.fullmatch(tag) else ("class", "role", "id")
+    names = [n for key in used for n in own.get(key, "").split() if not STATE_NAME.match(n)]
+    if in_main:
+        return any(CERTAIN_NAME.fullmatch(n) for n in names) or own.get("id", "").lower() in ("comments", "respond", "disqus_thread")
+    return any(CHROME_NAME.search(n) or HEADER_NAME.fullmatch(n) for n in names)
+
+
+def _length(text: str) -> int:
+    """Words of a text; two letters of a script without spaces count as one."""
+    letters = len(UNSPACED.findall(text))
+    return len(WORD.findall(text)) if not letters else len(WORD.findall(UNSPACED.sub(" ", text))) + letters // 2
 
 
 def page_blocks(page: str) -> list[Block]:
@@ -74,6 +99,10 @@ def page_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
     pieces: list[str] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, not content, main, link
+    # Places of the stack's block elements, how many of each name are open, and the open inline elements above each of them.
+    places: list[int] = []
+    opened: Counter[str] = Counter()
+    above: list[Counter[str]] = [Counter()]
     linked = part = 0
     heading = False
 
@@ -82,7 +111,8 @@ def page_blocks(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
             chrome = bool(stack) and stack[-1][1]
-            blocks.append(Block(text, linked, chrome, part, bool(stack) and stack[-1][2], heading))
+            blocks.append(Block(text, linked, chrome, part, bool(stack) and stack[-1][2], heading,
+                                bool(places) and stack[places[-1]][0] == "p"))
         pieces.clear()
         linked, heading = 0, False
 
@@ -100,6 +130,13 @@ def page_blocks(page: str) -> list[Block]:
         if was != now:
             flush()
             part += 1
+        for tag, *_ in reversed(stack[depth:]):
+            if tag in INLINE:
+                above[-1][tag] -= 1
+            else:
+                above.pop()
+                places.pop()
+                opened[tag] -= 1
         del stack[depth:]
 
     at = 0
@@ -119,27 +156,28 @@ def page_blocks(page: str) -> list[Block]:
         if tag not in INLINE:
             flush()
         if m["end"]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-            # An inline end tag does not close the region around it.
-            if depth >= 0 and (tag not in INLINE or all(x[0] in INLINE for x in stack[depth:])):
-                close(depth)
+            # An inline end tag does not close the region around it. Only what will be closed is walked over.
+            if above[-1][tag] if tag in INLINE else opened[tag]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         if tag in VOID or m["attrs"].endswith("/") and tag not in INLINE and tag not in ("p", "div"):
             continue
         if tag not in INLINE:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or stack[k][0] == tag == "li":
-                    close(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+            if places and (stack[places[-1]][0] == "p" or stack[places[-1]][0] == tag == "li"):
+                close(places[-1])
         _, chrome, main, link = stack[-1] if stack else ("", False, False, False)
         now = chrome or _not_content(tag, m["attrs"], main), main or tag in MAIN
         if now != (chrome, main):
             flush()
             part += 1
+        if tag in INLINE:
+            above[-1][tag] += 1
+        else:
+            places.append(len(stack))
+            opened[tag] += 1
+            above.append(Counter())
         stack.append((tag, *now, link or tag == "a"))
-        heading = heading or re.fullmatch("h[1-6]", tag) is not None
+        heading = heading or HEADING.fullmatch(tag) is not None
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.start() if end else len(page)
@@ -152,7 +190,8 @@ def first_pass(block: Block) -> bool | None:
     if block.chrome:
         return False
     if block.link_chars > LINK_DENSITY * len(block.text):
-        return False
+        # A paragraph of an article may be one link; it goes by its neighbours.
+        return None if block.main and block.para else False
     words = WORD.findall(block.text.lower())
     if len(words) >= LONG_WORDS and sum(w in STOPS for w in words) >= STOP_DENSITY * len(words):
         return True
@@ -178,17 +217,18 @@ def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
     for k, label in enumerate(labels):
         if label is None:
             near = sorted((abs(x[0] - k), not x[1]) for x in (before[k], after[k]) if x is not None)
-            label = not near[0][1] if near else blocks[k].main or blocks[k].heading or len(blocks[k].text.split()) >= LONG_WORDS
+            label = not near[0][1] if near else blocks[k].main or blocks[k].heading or _length(blocks[k].text) >= LONG_WORDS
         out.append(label)
     return out
 
 
 def main_text(page: str) -> str:
-    """The content blocks of a page, joined by a space. Where the page has an article or main element that holds
-    content, blocks outside of it are left out."""
+    """The content blocks of a page, joined by a space. Where the page's article or main elements hold
+    ``REGION_SHARE`` of the content, blocks outside of them are left out."""
     blocks = page_blocks(page)
     labels = second_pass(blocks, [first_pass(b) for b in blocks])
-    inside = any(label and b.main for b, label in zip(blocks, labels))
+    held = sum(len(b.text) for b, label in zip(blocks, labels) if label and b.main)
+    inside = held > 0 and held >= REGION_SHARE * sum(len(b.text) for b, label in zip(blocks, labels) if label)
     return " ".join(b.text for b, label in zip(blocks, labels) if label and (b.main or not inside))
 
 
