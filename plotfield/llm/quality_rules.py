@@ -137,5 +137,8 @@ def quality_rules(df: DataFrame, rules: list[Rule] = RULES, text: str = "text")
     """The rows of ``df`` that the base rule and all ``rules`` keep, with the columns of ``df`` alone."""
     names = [f"__own_{i}" for i, _ in enumerate(df.columns)]
     held = df.select(F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)]).alias("__row"), F.col(f"`{text}`").alias("__text"))
-    kept = judged(held, rules, "__text").where("kept")
+    # A filter on columns of a projection that also holds the partition's number is not moved below it, where each use of a measure
+    # would be computed anew.
+    verdict = judged(held, rules, "__text").select("__row", "kept", F.spark_partition_id().alias("__part"))
+    kept = verdict.where("kept and __part >= 0")
     return kept.select(*[F.col(f"__row.{n}").alias(c) for c, n in zip(df.columns, names)])

@@ -6,6 +6,7 @@ import hashlib
 import html
 import random
 import re
+import time
 
 import pytest
 import public_tokenizers
@@ -65,6 +66,14 @@ def test_quality_plan_is_native(frame):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_quality_filter_measures_once(frame, texts):
+    """The filter does not copy the measures: no more splits than in the plan of the verdicts."""
+    splits = lambda df: df._jdf.queryExecution().executedPlan().toString().count("split(")
+    filtered, judged = quality_rules.quality_rules(frame), quality_rules.judged(frame)
+    assert 0 < splits(filtered) <= splits(judged)
+    assert {r.doc_id for r in filtered.collect()} == {r.doc_id for r in judged.where("kept").collect()}
+
+
 def test_quality_rules_name_their_reason(spark):
     junk = " | ".join(["thing"] * 3 + [f"word{i}" for i in range(80)])
     fine = " ".join(f"the word{i} of a kind{i}" for i in range(40))
@@ -201,3 +210,33 @@ def test_extraction_as_an_operator(spark):
     got = html_extract.extract_text(frame).orderBy("page_id").collect()
     assert [(r.page_id, r.n_chars) for r in got] == [(1, len(got[0].text)), (1, len(got[0].text)), (2, 0), (3, 0)]
     assert html.unescape("&amp;") in got[0].text and F is not None
+
+
+PAGES = {
+    '<article><div title="the hidden valley"><p>A walk in the valley of the sun is what we want to do.</p></div></article>': "A walk in the valley of the sun is what we want to do.",
+    '<article><p>A walk in the valley of the sun is what we want to do.</p><section id="related-work"><h2 id="search-for-gold">Search</h2>'
+    '<p>The work that is related to this is in the text of the book.</p></section><p><a href=x>One whole link in the article</a></p>'
+    '<div class="comments"><p>I think that this is the best of the articles in it</p></div><div class="share-buttons">Tell your friends of it</div></article>':
+        "A walk in the valley of the sun is what we want to do. Search The work that is related to this is in the text of the book. One whole link in the article",
+    f"<div class=post><p>{'The body of the page is in this div and it is long. ' * 10}</p></div><article><p>Card of another.</p></article>":
+        ("The body of the page is in this div and it is long. " * 10).strip() + " Card of another.",
+    '<body><nav><a href=1>首页</a></nav><div><p>今天天气很好我们一起去公园散步看到了很多美丽的花朵</p></div></body>': "今天天气很好我们一起去公园散步看到了很多美丽的花朵",
+    '<body><div><h1>Привет</h1><p>Сегодня мы пошли гулять в большой парк и увидели там много красивых цветов</p></div></body>':
+        "Привет Сегодня мы пошли гулять в большой парк и увидели там много красивых цветов",
+    '<article><p>The text of the page is in this part of it.</p><p hidden>Not the text that is to be seen by you.</p><p aria-hidden="true">Nor is this the text of it.</p></article>':
+        "The text of the page is in this part of it.",
+}
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_ordinary_articles_stay_whole(page):
+    assert html_extract.main_text(page) == PAGES[page]
+
+
+@pytest.mark.parametrize("page", ["<span>" * 20_000 + "x" + "</p>" * 20_000, "<b>" + "<div>" * 20_000 + "y" + "</b>" * 20_000,
+                                  "<div>" + "<span>" * 100_000 + "<p>a</p>" * 20_000 + "</i>" * 20_000])
+def test_unclosed_tags_take_linear_time(page):
+    """Seconds where walks over the whole stack for every tag would take minutes."""
+    start = time.perf_counter()
+    html_extract.main_text(page)
+    assert time.perf_counter() - start < 10
