@@ -19,11 +19,15 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import NumericType
 
 Term = tuple[str, ...]
 
+#: Tasks that stack the partitions' triangles.
+SLOTS = 64
+
 
 def crossed(*names: str) -> list[Term]:
     """Main effects and all interactions of the names."""
@@ -280,32 +284,68 @@ def triangle(rows: np.ndarray) -> np.ndarray:
     return np.linalg.qr(rows, mode="r")
 
 
-def reduce_triangle(
-    cells: DataFrame, rows_of: Callable[[pd.DataFrame], Any]
-) -> tuple[np.ndarray, np.ndarray]:
-    """Triangular factor of the rows, and sums of the totals, that ``rows_of(cells)`` gives.
+def _add(held: dict[int, list], model: int, rows: np.ndarray, totals: Any) -> None:
+    """Stack rows on a model's triangle and add to its totals."""
+    own = held.setdefault(model, [None, 0.0])
+    if len(rows):
+        own[0] = triangle(rows if own[0] is None else np.vstack([own[0], rows]))
+    own[1] = own[1] + totals
+
+
+def _emit(held: dict[int, list], slot: int):
+    for model, (partial, sums) in held.items():
+        rows = [] if partial is None else [r.tolist() for r in partial]
+        yield pd.DataFrame({
+            "model": model, "slot": slot, "total": [False] * len(rows) + [True],
+            "row": [*rows, np.atleast_1d(sums).tolist()]})
+
+
+def _merge(batches):
+    held: dict[int, list] = {}
+    slot = 0
+    for batch in batches:
+        for (model, slot), part in batch.groupby(["model", "slot"]):
+            rows = part.loc[~part["total"], "row"].tolist()
+            _add(held, model, np.array(rows), sum(part.loc[part["total"], "row"], np.float64(0.0)))
+    yield from _emit(held, slot)
 
-    Each partition reduces its own cells, as they lie, to one small triangle; only the
-    triangles are stacked.
+
+def reduce_triangles(
+    cells: DataFrame, rows_of: Callable[[pd.DataFrame], Mapping[int, tuple[np.ndarray, np.ndarray]]],
+) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each model: the triangular factor of its rows, and the sums of its totals, as ``rows_of(cells)`` gives them.
+
+    One pass serves all models. Each partition reduces its own cells, as they lie, to one small
+    triangle a model; these are stacked in up to ``SLOTS`` tasks and then in one, so that the driver
+    gets one triangle a model however many partitions there are.
     """
     def per_partition(batches):
-        partial, sums = None, 0.0
+        held: dict[int, list] = {}
         for batch in batches:
             if len(batch):
-                rows, totals = rows_of(batch)
-                partial = triangle(rows if partial is None else np.vstack([partial, rows]))
-                sums = sums + totals
-        if partial is not None:
-            yield pd.DataFrame({
-                "total": [False] * len(partial) + [True],
-                "row": [r.tolist() for r in partial] + [np.atleast_1d(sums).tolist()],
-            })
-
-    found = cells.mapInPandas(per_partition, "total boolean, row array<double>").collect()
+                for model, (rows, totals) in rows_of(batch).items():
+                    _add(held, model, rows, totals)
+        yield from _emit(held, TaskContext.get().partitionId() % SLOTS)
+
+    kind = "model int, slot int, total boolean, row array<double>"
+    stacked = cells.mapInPandas(per_partition, kind).repartition("slot").mapInPandas(_merge, kind)
+    found: dict[int, list] = {}
+    for r in stacked.repartition(1).mapInPandas(_merge, kind).collect():
+        found.setdefault(r.model, [[], None])
+        if r.total:
+            found[r.model][1] = np.array(r.row)
+        else:
+            found[r.model][0].append(r.row)
     if not found:
         raise ValueError("no complete rows to fit")
-    stacked = np.array([r.row for r in found if not r.total])
-    return triangle(stacked), np.sum([r.row for r in found if r.total], axis=0)
+    return {model: (np.array(rows), totals) for model, (rows, totals) in found.items()}
+
+
+def reduce_triangle(
+    cells: DataFrame, rows_of: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]]
+) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`reduce_triangles` of one model."""
+    return reduce_triangles(cells, lambda part: {0: rows_of(part)})[0]
 
 
 @dataclass

@@ -17,17 +17,19 @@ from pyspark.sql import DataFrame, functions as F
 from plotfield.models import posthoc
 from plotfield.models._tables import table
 from plotfield.models._tails import chi2_upper, t_two_sided
-from plotfield.models.design import Design, Term, find_levels, model_rows, reduce_triangle
+from plotfield.models.design import Design, Term, find_levels, model_rows, reduce_triangles
 from plotfield.models.linear import independent_columns
 
 MAX_STEPS = 50
+#: Predictors beyond this have no finite mean; the fit then fails.
+LARGEST_ETA = 700.0
 
 
 class PoissonFit:
     def __init__(self, spark, design: Design, cells: DataFrame) -> None:
         self.spark, self.design, self._cells = spark, design, cells
         every = np.arange(len(design.labels))
-        self.beta, self.unscaled, self.deviance, pearson, self.n, self.at = self._fit(every)
+        self.beta, self.unscaled, self.deviance, pearson, self.n, self.at = self._fit([every])[0]
         self.rank = int(np.isfinite(self.beta).sum())
         self.df_resid = self.n - self.rank
         self.dispersion = pearson / self.df_resid if self.df_resid > 0 else math.nan
@@ -36,43 +38,60 @@ class PoissonFit:
     def cov(self) -> np.ndarray:
         return self.dispersion * self.unscaled
 
-    def _step(self, columns: np.ndarray, beta: np.ndarray | None):
-        """One weighted pass: working triangle at ``beta`` plus its deviance and Pearson sum."""
+    def _step(self, models: dict[int, tuple[np.ndarray, np.ndarray | None]]):
+        """One weighted pass for all models (columns, beta): each one's working triangle at ``beta`` plus its deviance and Pearson sum."""
         design, covariates = self.design, self.design.covariates
 
         def rows_of(part: pd.DataFrame):
-            x = design.rows(part)[:, columns]
+            every = design.rows(part)
             n, sy = part["__n"].to_numpy(float), part["__sy"].to_numpy(float)
             mean = sy / n
-            eta = np.log(mean + 0.1) if beta is None else np.clip(x @ beta, -700.0, 700.0)
-            mu = np.exp(eta)
-            root = np.sqrt(n * mu)
-            rows = np.column_stack([x, eta + (mean - mu) / mu]) * root[:, None]
-            deviance = 2.0 * (part["__ylogy"].to_numpy(float) - sy * eta - sy + n * mu).sum()
-            spread = (part["__css"].to_numpy(float) + n * (mean - mu) ** 2) / mu
             sums = [n @ part[c].to_numpy(float) for c in covariates]
-            return rows, np.array([deviance, spread.sum(), n.sum(), *sums])
-
-        return reduce_triangle(self._cells, rows_of)
-
-    def _fit(self, columns: np.ndarray):
-        k, beta, previous = len(columns), None, math.inf
+            out = {}
+            for model, (columns, beta) in models.items():
+                x = every[:, columns]
+                eta = np.log(mean + 0.1) if beta is None else x @ beta
+                if np.abs(eta).max() > LARGEST_ETA:
+                    raise RuntimeError("the linear predictor has left the range of doubles: the fit diverges")
+                mu = np.exp(eta)
+                root = np.sqrt(n * mu)
+                rows = np.column_stack([x, eta + (mean - mu) / mu]) * root[:, None]
+                deviance = 2.0 * (part["__ylogy"].to_numpy(float) - sy * eta - sy + n * mu).sum()
+                spread = (part["__css"].to_numpy(float) + n * (mean - mu) ** 2) / mu
+                out[model] = rows, np.array([deviance, spread.sum(), n.sum(), *sums])
+            return out
+
+        return reduce_triangles(self._cells, rows_of)
+
+    def _fit(self, models: list[np.ndarray]) -> list[tuple]:
+        """Fits of the design's columns that each model lists, all in the same passes."""
+        going: dict[int, tuple[np.ndarray, np.ndarray | None]] = {m: (columns, None) for m, columns in enumerate(models)}
+        state: dict[int, tuple] = {}
+        done: dict[int, tuple] = {}
         for _ in range(MAX_STEPS):
-            r, totals = self._step(columns, beta)
-            if beta is not None:
-                if abs(totals[0] - previous) < 1e-10 * (abs(totals[0]) + 0.1):
-                    break
-                previous = totals[0]
-            kept, basis = independent_columns(r, k)
-            inverse = np.linalg.inv(basis @ r[:, kept])
-            beta = np.zeros(k)
-            beta[kept] = inverse @ (basis @ r[:, k])
-        else:
-            raise RuntimeError(f"the fit has not converged after {MAX_STEPS} steps")
+            for m, (r, totals) in self._step(going).items():
+                columns, beta = going[m]
+                if beta is not None:
+                    kept, inverse, previous = state[m]
+                    if abs(totals[0] - previous) < 1e-10 * (abs(totals[0]) + 0.1):
+                        done[m] = self._finished(columns[kept], beta[kept], inverse, totals)
+                        del going[m]
+                        continue
+                kept, basis = independent_columns(r, len(columns))
+                inverse = np.linalg.inv(basis @ r[:, kept])
+                beta = np.zeros(len(columns))
+                beta[kept] = inverse @ (basis @ r[:, len(columns)])
+                state[m] = kept, inverse, totals[0] if going[m][1] is not None else math.inf
+                going[m] = columns, beta
+            if not going:
+                return [done[m] for m in range(len(models))]
+        raise RuntimeError(f"the fit has not converged after {MAX_STEPS} steps")
+
+    def _finished(self, places: np.ndarray, beta: np.ndarray, inverse: np.ndarray, totals: np.ndarray) -> tuple:
         full = np.full(len(self.design.labels), np.nan)
-        full[columns[kept]] = beta[kept]
+        full[places] = beta
         unscaled = np.full((len(full), len(full)), np.nan)
-        unscaled[np.ix_(columns[kept], columns[kept])] = inverse @ inverse.T
+        unscaled[np.ix_(places, places)] = inverse @ inverse.T
         at = {c: totals[3 + i] / totals[2] for i, c in enumerate(self.design.covariates)}
         return full, unscaled, totals[0], totals[1], int(round(totals[2])), at
 
@@ -91,16 +110,12 @@ class PoissonFit:
 
     def anova(self, type: int = 3) -> DataFrame:
         """Likelihood-ratio test of each term: deviance gained by refitting without its
-        columns, over the dispersion of the full model."""
+        columns, over the dispersion of the full model. All refits share their passes."""
         if type != 3:
             raise ValueError("only type 3 is offered")
-        owner = self.design.owner
+        owner, names = self.design.owner, self.design.term_names[1:]
         rows = []
-        for i, name in enumerate(self.design.term_names):
-            if i == 0:
-                continue
-            columns = np.flatnonzero(owner != i)
-            reduced = self._fit(columns)
+        for name, reduced in zip(names, self._fit([np.flatnonzero(owner != i) for i in range(1, len(names) + 1)])):
             df = self.rank - int(np.isfinite(reduced[0]).sum())
             chisq = max(reduced[2] - self.deviance, 0.0) / self.dispersion
             rows.append((name, chisq, df, chi2_upper(chisq, df)))

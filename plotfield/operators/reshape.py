@@ -9,7 +9,7 @@ import re
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
 
@@ -107,22 +107,30 @@ def wider(
     values: Sequence[Any] | None = None,
     prefix: str = "",
 ) -> DataFrame:
-    """One column per value of ``name``, in one aggregation.
+    """One column per value of ``name``.
 
-    Without ``values`` the names are those found in the data, in order; that takes a pass
-    over them. With a list, a row whose name is not in it fails the job. A cell must have one
+    Rows are first reduced by ids and name, which combines on the map side, and then one row an id holds
+    its cells by name. Without ``values`` the names are those found in the data, in order; that takes a pass
+    over them. With a list, a row whose name is not in it fails the job. Rows with a missing name get a
+    column ``<prefix>NA``, if there are such rows or the list holds ``None``. A cell must have one
     source row; two distinct values in one cell fail the job.
     """
     if values is None:
-        found = df.agg(F.array_sort(F.collect_set(name))).first()[0]
-        values = list(found)
+        found = df.agg(F.array_sort(F.collect_set(name)), F.bool_or(F.col(f"`{name}`").isNull())).first()
+        values = [*found[0], *([None] if found[1] else [])]
+    columns = {v: f"{prefix}{'NA' if v is None else v}" for v in values}
+    if len(set(columns.values())) < len(columns):
+        raise ValueError(f"{name} has missing values and the value 'NA', or two values of one text: {list(values)}")
+    kind = df.schema[name].dataType
+    names = F.col("__name")
     clash = F.raise_error(F.lit(f"several values of {value} in one cell"))
-    unlisted = F.raise_error(F.concat(F.lit(f"{name} has a value that is not listed: "), F.col(name).cast("string")))
-    named = F.when(F.col(name).isNull() | F.col(name).isin(list(values)), F.col(value)).otherwise(unlisted)
-    held = df.select(*[F.col(f"`{c}`") for c in ids], F.col(name).alias("__name"), named.alias("__value"))
-
-    def cell(v: Any) -> Column:
-        own = F.when(F.col("__name") == F.lit(v), F.col("__value"))
-        return F.when(F.min(own).eqNullSafe(F.max(own)), F.min(own)).otherwise(clash)
-
-    return held.groupBy(*ids).agg(*[cell(v).alias(f"{prefix}{v}") for v in values])
+    unlisted = F.raise_error(F.concat(F.lit(f"{name} has a value that is not listed: "), F.coalesce(names.cast("string"), F.lit("missing"))))
+    known = F.coalesce(names.isin([v for v in columns if v is not None]), F.lit(None in columns))
+    cells = (df.select(*[F.col(f"`{c}`") for c in ids], F.col(f"`{name}`").alias("__name"), F.col(f"`{value}`").alias("__value"))
+             .groupBy(*ids, "__name").agg(F.min("__value").alias("__low"), F.max("__value").alias("__high"))
+             .withColumn("__cell", F.when(~known, unlisted).when(F.col("__low").eqNullSafe(F.col("__high")), F.col("__low")).otherwise(clash)))
+    wide = cells.groupBy(*ids).agg(
+        F.map_from_entries(F.collect_list(F.when(names.isNotNull(), F.struct(names, "__cell")))).alias("__cells"),
+        F.max(F.when(names.isNull(), F.col("__cell"))).alias("__unnamed"))
+    return wide.select(*[F.col(f"`{c}`") for c in ids], *[
+        (F.col("__unnamed") if v is None else F.try_element_at("__cells", F.lit(v).cast(kind))).alias(c) for v, c in columns.items()])

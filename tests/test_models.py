@@ -11,7 +11,7 @@ from plotfield.models import (
     crossed, fit_band, glm_quasipoisson, glmm_binomial, linear_model, lmm, ols, path_model, terms,
     welch_t,
 )
-from plotfield.models import glm as glm_module, glmm as glmm_module, mixed as mixed_module
+from plotfield.models import design as design_module, glm as glm_module, glmm as glmm_module, mixed as mixed_module
 from plotfield.models._tails import (
     chi2_upper, f_upper, normal_two_sided, studentised_range_upper, t_quantile, t_two_sided,
 )
@@ -176,6 +176,25 @@ def test_partitioning_does_not_matter(frame, partitions):
     assert fit.rss == pytest.approx(linear_model(frame, "y", crossed("b", "d")).rss, rel=1e-12)
 
 
+def test_the_driver_gets_one_triangle_of_more_partitions_than_slots(spark, monkeypatch):
+    monkeypatch.setattr(design_module, "SLOTS", 3)
+    cells = spark.range(60).select(F.col("id").cast("double").alias("v")).repartition(20)
+
+    def rows_of(part):
+        v = part["v"].to_numpy()
+        return {m: (np.column_stack([np.ones(len(v)), v + m]), np.array([len(v), v.sum()])) for m in (0, 5)}
+
+    found = design_module.reduce_triangles(cells, rows_of)
+    x = np.arange(60.0)
+    for m in (0, 5):
+        r, totals = found[m]
+        dense = np.column_stack([np.ones(60), x + m])
+        assert r.shape == (2, 2) and np.allclose(r.T @ r, dense.T @ dense)
+        assert totals.tolist() == [60.0, x.sum()]
+    with pytest.raises(ValueError, match="no complete rows"):
+        design_module.reduce_triangles(cells.where("v < 0"), rows_of)
+
+
 def test_types_agree_on_balanced_data_with_sum_coding(spark):
     rng = np.random.default_rng(2)
     grid = list(itertools.product("ABC", "xy", range(4)))

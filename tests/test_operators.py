@@ -100,15 +100,26 @@ def test_wider(spark, rows):
     df = spark.createDataFrame(
         [(1, 2023, "alive"), (1, 2024, "dead"), (2, 2023, None), (3, None, "x")],
         "t int, y int, s string")
-    for values in ([2023, 2024], None):
+    for values in ([2023, 2024, None], None):
         out = wider(df, ["t"], "y", "s", values, prefix="S_")
-        assert out.columns == ["t", "S_2023", "S_2024"]
-        assert rows(out) == [(1, "alive", "dead"), (2, None, None), (3, None, None)]
+        assert out.columns == ["t", "S_2023", "S_2024", "S_NA"]
+        assert rows(out) == [(1, "alive", "dead", None), (2, None, None, None), (3, None, None, "x")]
+    named = wider(df.where("y is not null"), ["t"], "y", "s", prefix="S_")
+    assert named.columns == ["t", "S_2023", "S_2024"]
+    assert rows(named) == [(1, "alive", "dead"), (2, None, None)]
     with pytest.raises(Exception, match="not listed: 2024"):
-        wider(df, ["t"], "y", "s", [2023]).collect()
+        wider(df, ["t"], "y", "s", [2023, None]).collect()
+    with pytest.raises(Exception, match="not listed: missing"):
+        wider(df, ["t"], "y", "s", [2023, 2024]).collect()
     twice = df.union(spark.createDataFrame([(1, 2023, "dead")], df.schema))
     with pytest.raises(Exception, match="several values"):
-        wider(twice, ["t"], "y", "s", [2023, 2024]).collect()
+        wider(twice, ["t"], "y", "s", [2023, 2024, None]).collect()
+    unnamed = df.union(spark.createDataFrame([(3, None, "y")], df.schema))
+    with pytest.raises(Exception, match="several values"):
+        wider(unnamed, ["t"], "y", "s").collect()
+    texts = spark.createDataFrame([(1, "NA", 1.0), (1, None, 2.0)], "t int, y string, v double")
+    with pytest.raises(ValueError, match="'NA'"):
+        wider(texts, ["t"], "y", "v")
 
 
 @pytest.fixture(scope="module")
