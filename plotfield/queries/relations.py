@@ -18,7 +18,7 @@ from plotfield.queries.tables import (
     sensors, with_treatments,
 )
 from plotfield.session import shared_folder
-from plotfield.sources import read_table
+from plotfield.sources import read_table, read_wide
 
 
 @query("""SELECT CAST(o_orderkey AS INTEGER) AS "Plot #", CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS "Status",
@@ -46,6 +46,27 @@ def inner_join_(spark: SparkSession, sf: str) -> DataFrame:
     return inner_join(measured, aspect, "l_suppkey").drop("l_suppkey")
 
 
+@query("""SELECT o_orderkey, o_custkey AS "cust", o_totalprice AS "balance_x", c_acctbal AS "balance_y", o_orderstatus AS "label_x", c_mktsegment AS "label_y"
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
+def join_collision(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns that both sides have keep apart by suffixes; the key stays one column."""
+    orders = load(spark, sf, "orders").select(
+        "o_orderkey", F.col("o_custkey").alias("cust"), F.col("o_totalprice").alias("balance"), F.col("o_orderstatus").alias("label"))
+    customers = load(spark, sf, "customer").select(
+        F.col("c_custkey").alias("cust"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("label"))
+    return left_join(orders, customers, "cust", suffixes=("_x", "_y"))
+
+
+@query("""SELECT c_custkey, c_nationkey AS "nation", c_acctbal AS "balance_x", coalesce(s.total, 0.0::DOUBLE) AS "balance"
+FROM customer LEFT JOIN (SELECT s_nationkey, round(sum(s_acctbal), 4) AS total FROM supplier GROUP BY s_nationkey) s ON c_nationkey = s_nationkey""")
+def complete_collision(spark: SparkSession, sf: str) -> DataFrame:
+    """A placeholder column of the design gives way to the facts of its name; where there are none, zero."""
+    design = load(spark, sf, "customer").select(
+        "c_custkey", F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance_x"), F.lit(0.0).alias("balance"))
+    facts = load(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.round(F.sum("s_acctbal"), 4).alias("balance"))
+    return complete(design, facts, "nation", 0.0)
+
+
 @query(f"""WITH {INDIVIDUALS_SQL}
 SELECT i."Plot", i."Year", i."Tag", t.area FROM individuals i
 LEFT JOIN (VALUES ('yes', 0.5::DOUBLE), ('no', 9.0::DOUBLE), (NULL, 1.0::DOUBLE)) t(e, area)
@@ -249,3 +270,19 @@ def wide_sensor_sheet(spark: SparkSession, sf: str) -> DataFrame:
     long = longer(sheet, ids=["day"], name="sensor", value="VWC").where(F.col("VWC").isNotNull())
     return with_rounded(separate(long, "sensor", [None, "Plot", "Depth"], "_"), "VWC").select(
         "day", "Plot", "Depth", "VWC")
+
+
+@query(f"""WITH {SENSORS_SQL}
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS "day", CAST("Plot" AS VARCHAR) AS "Plot", "Depth", {sql_rounded('avg("VWC")')} AS "VWC"
+FROM sensors WHERE "VWC" IS NOT NULL GROUP BY ALL""")
+def wide_sheet_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A written wide sheet with the means and the counts of every sensor; only the means are read back."""
+    code = F.concat(F.col("Plot").cast("string"), F.coalesce(F.concat(F.lit("_"), F.col("Depth")), F.lit("")))
+    daily = sensors(spark, sf).groupBy(F.to_date("ts").alias("day"), code.alias("code")).agg(
+        F.avg("VWC").alias("VWC"), F.count("VWC").cast("double").alias("N"))
+    both = longer(daily, cols=["VWC", "N"], name="kind", value="v").withColumn("sensor", F.concat_ws("_", "kind", "code"))
+    path = f"{shared_folder(spark)}/wide-{uuid.uuid4().hex}"
+    wider(both, ["day"], "sensor", "v").write.csv(path, header=True)
+    sheet = read_wide(spark, path, "day date", r"VWC_(?P<plot>\d+)(_(?P<depth>.+))?")
+    long = longer(sheet, ids=["day"], names_pattern=r"VWC_(\d+)(?:_(.+))?", names_to=["Plot", "Depth"], value="VWC")
+    return with_rounded(long.where(F.col("VWC").isNotNull()).withColumn("day", F.col("day").cast("string")), "VWC")

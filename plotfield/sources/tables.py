@@ -7,12 +7,13 @@ stray text in numeric columns. A declared schema is matched by name and applied
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DataType, DoubleType, FloatType, NumericType, StringType, StructType
+from pyspark.sql.types import DataType, DoubleType, FloatType, NumericType, StringType, StructField, StructType
 
 from plotfield.functions.missing import observed, to_number
 
@@ -33,15 +34,15 @@ def read_table(
         if stem.endswith("." + suffix):
             df = _clean_headers(spark.read.format(suffix).load(path, **options))
             return df if schema is None else _conform(df, schema)
+    settings = {"inferSchema": schema is None, **options}
     raw = _clean_headers(
         spark.read.csv(
             path,
             header=True,
-            inferSchema=schema is None,
             ignoreLeadingWhiteSpace=True,
             ignoreTrailingWhiteSpace=True,
             nullValue="NA",
-            **options,
+            **settings,
         )
     )
     return raw if schema is None else _conform(raw, schema)
@@ -66,9 +67,27 @@ def _converted(df: DataFrame, name: str, to: DataType) -> Column:
     return observed(cast) if isinstance(to, (DoubleType, FloatType)) else cast
 
 
-def read_wide(spark: SparkSession, path: str, **options: Any) -> DataFrame:
-    """Wide sensor sheet: one row per timestamp, one column per sensor."""
-    return read_table(spark, path, **options)
+def read_wide(
+    spark: SparkSession, path: str, ids: str | None = None, pattern: str | None = None,
+    keep: Callable[[dict[str, str | None]], bool] | None = None, value_type: str = "double", **options: Any,
+) -> DataFrame:
+    """Wide sheet: one row per timestamp, one column per sensor.
+
+    ``ids`` declares the leading columns, and ``pattern`` says how the whole header of a sensor column reads. Headers are parsed
+    when the plan is made; a column stays if ``keep`` accepts the named groups of its header. The file is then scanned for
+    the wanted columns alone, without a pass to infer types. Sensor values become ``value_type``; a cell that is none is missing.
+    Without a pattern all columns are read, as by :func:`read_table`.
+    """
+    if pattern is None:
+        return read_table(spark, path, ids, **options)
+    headers = read_table(spark, path, None, **{**options, "inferSchema": False})
+    leading = StructType.fromDDL(ids) if ids else StructType()
+    found = {c: re.fullmatch(pattern, c) for c in headers.columns if c not in leading.names}
+    wanted = [c for c, match in found.items() if match and (keep is None or keep(match.groupdict()))]
+    if not wanted:
+        raise ValueError(f"no column of {path} reads as {pattern!r}")
+    sensors = StructType.fromDDL(f"v {value_type}")["v"].dataType
+    return _conform(headers, StructType([*leading.fields, *[StructField(c, sensors) for c in wanted]]))
 
 
 def literal_table(

@@ -72,7 +72,7 @@ def test_plans_have_no_products_and_no_python(spark, name):
     plan = plan_of(contract.queries()[name](spark, str(DATA)))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "Python" not in plan and "ArrowEval" not in plan
-    assert "FileScan csv" in plan if name == "read_table" else "FileScan parquet" in plan
+    assert ("FileScan csv" if name in ("read_table", "wide_sheet_scan") else "FileScan parquet") in plan
 
 
 def test_scan_reads_only_needed_columns(spark):
@@ -81,6 +81,11 @@ def test_scan_reads_only_needed_columns(spark):
     assert {c.split(":")[0] for c in schema.split(",")} == {"l_partkey", "l_quantity", "l_linestatus"}
 
 
+def test_wide_sheets_are_scanned_for_the_means_alone(spark):
+    plan = plan_of(contract.queries()["wide_sheet_scan"](spark, str(DATA)))
+    assert "N_" not in plan.split("FileScan csv", 1)[1] and "VWC_" in plan
+
+
 def test_filters_reach_the_scan(spark):
     plan = plan_of(contract.queries()["filter_membership"](spark, str(DATA)))
     assert "PushedFilters: [" in plan

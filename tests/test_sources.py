@@ -36,6 +36,24 @@ def test_parquet_and_wide(spark, tmp_path, rows):
     assert rows(read_table(spark, path, "VWC_1_a string")) == [("2.0",)]
 
 
+def test_wide_sheets_read_the_wanted_sensors_alone(spark, tmp_path, rows):
+    path = str(tmp_path / "wide.csv")
+    (tmp_path / "wide.csv").write_text("day, VWC_1_a ,VWC_1_b,VWC_12,T_1_a,note\n2023-01-01,0.5,NA,x,7,k\n2023-01-02,,2,3,8,\n")
+    pattern = r"VWC_(?P<plot>\d+)(_(?P<depth>.+))?"
+    every = read_wide(spark, path, "day date", pattern)
+    assert every.columns == ["day", "VWC_1_a", "VWC_1_b", "VWC_12"]
+    assert [tuple(r)[1:] for r in every.orderBy("day").collect()] == [(0.5, None, None), (None, 2.0, 3.0)]
+    shallow = read_wide(spark, path, "day date", pattern, keep=lambda header: header["depth"] == "a")
+    plan = shallow._jdf.queryExecution().executedPlan().toString()
+    read = plan.split("ReadSchema: struct<", 1)[1].split(">", 1)[0]
+    assert [c.split(":")[0].strip() for c in read.split(",")] == ["day", "VWC_1_a"]
+    assert rows(shallow.select("VWC_1_a")) == [(0.5,), (None,)]
+    with pytest.raises(ValueError, match="no column"):
+        read_wide(spark, path, "day date", r"SAL_.*")
+    with pytest.raises(ValueError, match="not in file"):
+        read_wide(spark, path, "hour int", pattern)
+
+
 def test_literal_table_of_any_length(spark, rows):
     assert rows(literal_table(spark, [(1, "a")], "k int, v string")) == [(1, "a")]
     assert literal_table(spark, [(i,) for i in range(10_001)], "k int").count() == 10_001
