@@ -13,18 +13,37 @@ from plotfield.queries.registry import query, rounded, sql_rounded, with_rounded
 from plotfield.queries.tables import BURN_SQL, PLOTS_SQL, individuals, plots, with_treatments
 
 
+#: Two-sided critical value of t at 95 % for many degrees of freedom: the normal value and its expansion in 1 / df.
+_Z = 1.959963984540054
+_T_CRITICAL_SQL = "(" + " + ".join(
+    f"{sum(c * _Z ** k for k, c in terms_.items()) / scale!r} / pow({{df}}, {order})" for order, (scale, terms_) in enumerate([
+        (1, {1: 1}), (4, {3: 1, 1: 1}), (96, {5: 5, 3: 16, 1: 3}), (384, {7: 3, 5: 19, 3: 17, 1: -15}),
+        (92160, {9: 79, 7: 776, 5: 1482, 3: -1920, 1: -945})])) + ")"
+
+
+def _central_sql(t: str, density: str) -> str:
+    """The area of an even density over ``x`` between -t and t, by Simpson's rule on 4,000 steps."""
+    return (f"(SELECT 2 * ({t}) / 4000 / 3 * sum(w * ({density})) FROM (SELECT i / 4000.0::DOUBLE * ({t}) AS x, "
+            "CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM (SELECT unnest(range(4001)) AS i)))")
+
+
+_T_DENSITY_SQL = "exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * pow(1 + x * x / df, -(df + 1) / 2)"
+
+
 @query(f"""WITH {PLOTS_SQL},
 s AS (SELECT avg("Biomass") FILTER ("Exclosure" = 'F') AS m1, avg("Biomass") FILTER ("Exclosure" <> 'F') AS m2,
   var_samp("Biomass") FILTER ("Exclosure" = 'F') / count(*) FILTER ("Exclosure" = 'F') AS a,
   var_samp("Biomass") FILTER ("Exclosure" <> 'F') / count(*) FILTER ("Exclosure" <> 'F') AS b,
-  count(*) FILTER ("Exclosure" = 'F') AS n1, count(*) FILTER ("Exclosure" <> 'F') AS n2 FROM plots)
-SELECT {sql_rounded('m1')} AS "mean_1", {sql_rounded('m2')} AS "mean_2",
-  {sql_rounded('(m1 - m2) / sqrt(a + b)')} AS "t",
-  {sql_rounded('(a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1))', 4)} AS "df" FROM s""")
+  count(*) FILTER ("Exclosure" = 'F') AS n1, count(*) FILTER ("Exclosure" <> 'F') AS n2 FROM plots),
+u AS (SELECT *, (m1 - m2) / sqrt(a + b) AS t, (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1)) AS df FROM s)
+SELECT {sql_rounded('m1')} AS "mean_1", {sql_rounded('m2')} AS "mean_2", {sql_rounded('t')} AS "t", {sql_rounded('df', 4)} AS "df",
+  {sql_rounded('1 - ' + _central_sql('abs(t)', _T_DENSITY_SQL))} AS "p_value",
+  {sql_rounded('m1 - m2 - ' + _T_CRITICAL_SQL.format(df='df') + ' * sqrt(a + b)')} AS "lower",
+  {sql_rounded('m1 - m2 + ' + _T_CRITICAL_SQL.format(df='df') + ' * sqrt(a + b)')} AS "upper" FROM u""")
 def welch_t_(spark: SparkSession, sf: str) -> DataFrame:
     test = welch_t(plots(spark, sf), "Biomass", F.col("Exclosure") == "F")
-    test = with_rounded(test, "mean_1", "mean_2", "t")
-    return with_rounded(test, "df", digits=4).select("mean_1", "mean_2", "t", "df")
+    test = with_rounded(test, "mean_1", "mean_2", "t", "p_value", "lower", "upper")
+    return with_rounded(test, "df", digits=4).select("mean_1", "mean_2", "t", "df", "p_value", "lower", "upper")
 
 
 _LINE_SQL = """l AS (SELECT "BurnTreat" AS b, count(*) AS n, avg("Biomass") AS xm, regr_slope("Cover", "Biomass") AS k,
@@ -49,11 +68,12 @@ def ols_simple_(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {PLOTS_SQL}, {_LINE_SQL},
 g AS (SELECT *, lo + (hi - lo) * i / 79.0::DOUBLE AS x FROM l, (SELECT unnest(range(80)) AS i))
 SELECT b AS "BurnTreat", {sql_rounded('x')} AS "x", {sql_rounded('a + k * x', 3)} AS "fit",
-  {sql_rounded('s * sqrt(1.0 / n + (x - xm) * (x - xm) / sxx)', 4)} AS "se" FROM g""")
+  {sql_rounded('e', 4)} AS "se", {sql_rounded('a + k * x - q * e', 3)} AS "lower", {sql_rounded('a + k * x + q * e', 3)} AS "upper"
+FROM (SELECT *, s * sqrt(1.0 / n + (x - xm) * (x - xm) / sxx) AS e, {_T_CRITICAL_SQL.format(df='(n - 2)')} AS q FROM g)""")
 def fit_band_(spark: SparkSession, sf: str) -> DataFrame:
     band = fit_band(plots(spark, sf), "Cover", "Biomass", n=80, by=["BurnTreat"])
-    return band.select("BurnTreat", rounded("x").alias("x"), rounded("fit", 3).alias("fit"),
-                       rounded("se", 4).alias("se"))
+    return band.select("BurnTreat", rounded("x").alias("x"), rounded("se", 4).alias("se"),
+                       *[rounded(c, 3).alias(c) for c in ("fit", "lower", "upper")])
 
 
 def _anova(table: DataFrame) -> DataFrame:
@@ -325,13 +345,15 @@ q AS (SELECT *, sqrt((sb - a * sxb) / (n * sx)) AS ea,
 
 @query(f"""WITH {_PATH_SQL}
 """ + " UNION ALL ".join(
-    f"""SELECT '{y}' AS "lhs", '{x}' AS "rhs", {sql_rounded(b, 7)} AS "estimate", {sql_rounded(e, 7)} AS "se" FROM q"""
-    for y, x, b, e in [("Biomass", "Severity", "a", "ea"), ("Cover", "Biomass", "cb", "ecb"),
-                       ("Cover", "Severity", "cx", "ecx"), ("l_tax", "Biomass", "tb", "etb"),
-                       ("l_tax", "Severity", "tx", "etx")]))
+    f"""SELECT '{y}' AS "lhs", '{x}' AS "rhs", {sql_rounded(b, 7)} AS "estimate", {sql_rounded(e, 7)} AS "se",
+  {sql_rounded(f'{b} / {e}', 5)} AS "z", {sql_rounded(f'{b} * sqrt({vx} / {vy})')} AS "standardised" FROM q"""
+    for y, x, b, e, vy, vx in [("Biomass", "Severity", "a", "ea", "sb", "sx"), ("Cover", "Biomass", "cb", "ecb", "sc", "sb"),
+                               ("Cover", "Severity", "cx", "ecx", "sc", "sx"), ("l_tax", "Biomass", "tb", "etb", "st", "sb"),
+                               ("l_tax", "Severity", "tx", "etx", "st", "sx")]))
 def path_model_(spark: SparkSession, sf: str) -> DataFrame:
     fit = path_model(plots(spark, sf), EQUATIONS).coefficients().where("op = '~'")
-    return with_rounded(fit, "estimate", "se", digits=7).select("lhs", "rhs", "estimate", "se")
+    fit = with_rounded(with_rounded(with_rounded(fit, "estimate", "se", digits=7), "z", digits=5), "standardised")
+    return fit.select("lhs", "rhs", "estimate", "se", "z", "standardised")
 
 
 @query(f"""WITH {_PATH_SQL}
@@ -344,12 +366,28 @@ def path_effects(spark: SparkSession, sf: str) -> DataFrame:
     return with_rounded(fit, "estimate", "se", digits=5).select("effect", "estimate", "se")
 
 
-@query(f"""WITH {PLOTS_SQL}, m AS (SELECT count(*)::DOUBLE AS n, var_pop("Severity") / 0.001 AS s FROM plots)
-SELECT CAST(n AS BIGINT) AS "n", {sql_rounded('n * (s - ln(s) - 1)', 4)} AS "chisq", CAST(1 AS BIGINT) AS "df" FROM m""")
+# With a fixed predictor variance v the implied moments differ from the sample's by the variance excess d alone, times the total
+# effects k of the predictor on both variables: one for itself, a, cx + a cb and tx + a tb for the outcomes.
+_FIT_SQL = f"""{_PATH_SQL},
+r AS (SELECT q.*, sx - 0.001 AS d, sx / 0.001 AS ratio, sb - a * sxb AS vb, sc - cb * sbc - cx * sxc AS vc, st - tb * sbt - tx * sxt AS vt,
+        (SELECT covar_pop("Cover", l_tax) FROM plots) - cb * sbt - cx * sxt AS vct,
+        1 / sx AS u1, a * a / sb AS u2, pow(cx + a * cb, 2) / sc AS u3, pow(tx + a * tb, 2) / st AS u4 FROM q),
+f AS (SELECT *, n * (ratio - ln(ratio) - 1) AS chisq, ln(sx * vb) + ln(vc * vt - vct * vct) AS logdet FROM r),
+g AS (SELECT *, n * (ln(sx) + ln(sb) + ln(sc) + ln(st) - logdet) AS base, -n / 2 * (4 * ln(2 * pi()) + logdet - ln(ratio) + 3 + ratio) AS ll FROM f)"""
+
+
+@query(f"""WITH {_FIT_SQL}
+SELECT CAST(n AS BIGINT) AS "n", CAST(13 AS BIGINT) AS "n_parameters", {sql_rounded('chisq', 4)} AS "chisq", CAST(1 AS BIGINT) AS "df",
+  {sql_rounded('1 - ' + _central_sql('sqrt(chisq)', 'exp(-x * x / 2) / sqrt(2 * pi())'), 5)} AS "p_value",
+  {sql_rounded('1 - greatest(chisq - 1, 0) / greatest(base - 6, chisq - 1, 0)')} AS "cfi",
+  {sql_rounded('(base / 6 - chisq) / (base / 6 - 1)')} AS "tli", {sql_rounded('sqrt(greatest(chisq - 1, 0) / n)')} AS "rmsea",
+  {sql_rounded('abs(d) * sqrt((pow(u1 + u2 + u3 + u4, 2) + u1 * u1 + u2 * u2 + u3 * u3 + u4 * u4) / 2 / 14)')} AS "srmr",
+  {sql_rounded('ll', 2)} AS "loglik", {sql_rounded('26 - 2 * ll', 2)} AS "aic", {sql_rounded('13 * ln(n) - 2 * ll', 2)} AS "bic" FROM g""")
 def path_fit(spark: SparkSession, sf: str) -> DataFrame:
     """With a fixed predictor variance the only misfit is that variance."""
     fit = path_model(plots(spark, sf), EQUATIONS, fixed_var={"Severity": 0.001}).fit()
-    return with_rounded(fit, "chisq", digits=4).select("n", "chisq", "df")
+    fit = with_rounded(with_rounded(with_rounded(fit, "chisq", digits=4), "p_value", digits=5), "loglik", "aic", "bic", digits=2)
+    return with_rounded(fit, "cfi", "tli", "rmsea", "srmr")
 
 
 # One mean per plot and subplot: every plot has both, so REML has its balanced closed form.
