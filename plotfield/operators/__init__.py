@@ -3,7 +3,7 @@ from plotfield.operators.joins import (
     anti_join, complete, grid, grid_over, inner_join, left_join, lookup_join, member_flag,
     semi_join,
 )
-from plotfield.operators.order import arrange, first_rows
+from plotfield.operators.order import arrange, first_rows, with_position
 from plotfield.operators.quantiles import box_outliers, box_stats, exact_quantiles
 from plotfield.operators.reshape import longer, longer_values, separate, wider
 from plotfield.operators.summarise import (
@@ -18,5 +18,5 @@ __all__ = [
     "first_rows", "first_seen", "grid", "grid_over", "inner_join", "keep_groups_any", "left_join",
     "longer", "longer_values", "lookup_join", "mean_sd_table", "mean_se", "member_flag",
     "null_count", "pool_se", "proportion_se", "rates", "semi_join", "separate",
-    "summarise_across", "union_fill", "union_strict", "var_table", "wider", "zscore",
+    "summarise_across", "union_fill", "union_strict", "var_table", "wider", "with_position", "zscore",
 ]

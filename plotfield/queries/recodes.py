@@ -10,7 +10,7 @@ from plotfield.functions import (
     parse_subplot, paste, recode, remove_first, to_number, underscores_to_spaces, water_year,
     with_error_bounds, with_levels,
 )
-from plotfield.operators import arrange, first_rows, mean_se
+from plotfield.operators import arrange, first_rows, mean_se, with_position
 from plotfield.queries.registry import query, rounded, sql_rounded, with_rounded
 from plotfield.queries.tables import (
     BURN, BURN_SQL, DROUGHT_SQL, INDIVIDUALS_SQL, PLOTS_SQL, SENSORS_SQL, individuals, load,
@@ -135,16 +135,17 @@ def factor_levels(spark: SparkSession, sf: str) -> DataFrame:
     return levels(sensors(spark, sf), "Depth")
 
 
-@query(f"""WITH {SENSORS_SQL}
-SELECT CASE WHEN "Depth" IN ('click', 'signup', 'purchase') THEN "Depth" END AS "Depth",
+@query(f"""WITH {SENSORS_SQL},
+g AS (SELECT CASE WHEN "Depth" IN ('click', 'signup', 'purchase') THEN "Depth" END AS "Depth",
   CAST(CASE "Depth" WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 END AS DOUBLE)
-    AS "rank", CAST(count(*) AS BIGINT) AS n FROM sensors GROUP BY 1, 2""")
+    AS "rank", CAST(count(*) AS BIGINT) AS n FROM sensors GROUP BY 1, 2)
+SELECT *, row_number() OVER (ORDER BY "rank" NULLS LAST) AS "position" FROM g""")
 def levels_sorted(spark: SparkSession, sf: str) -> DataFrame:
     declared = ["click", "signup", "purchase"]
     df = with_levels(sensors(spark, sf), "Depth", declared)
     counts = df.groupBy("Depth").agg(F.count(F.lit(1)).alias("n"))
     ranked = counts.withColumn("rank", level_rank("Depth", declared).cast("double"))
-    return arrange(ranked, "rank").select("Depth", "rank", "n")
+    return arrange(with_position(ranked, "rank"), "position").select("Depth", "rank", "n", "position")
 
 
 @query(f"""WITH {INDIVIDUALS_SQL}
@@ -210,18 +211,18 @@ def water_year_(spark: SparkSession, sf: str) -> DataFrame:
         water_year("o_orderdate").alias("Water_Year"))
 
 
-@query("""SELECT o_orderkey, o_custkey, o_totalprice FROM orders
+@query("""SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS "position" FROM orders
 ORDER BY o_totalprice, o_orderkey LIMIT 20""")
 def first_rows_(spark: SparkSession, sf: str) -> DataFrame:
     df = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return first_rows(df, 20, ["o_totalprice", "o_orderkey"])
+    return with_position(first_rows(df, 20, ["o_totalprice", "o_orderkey"]), "o_totalprice", "o_orderkey")
 
 
 @query(f"""WITH {INDIVIDUALS_SQL}
-SELECT "Plot", "Tag", "Year", "Status" FROM individuals ORDER BY 1, 2, 3, 4 NULLS LAST""")
+SELECT "Plot", "Tag", "Year", "Status", row_number() OVER (ORDER BY "Plot", "Tag", "Year", "Status" NULLS LAST) AS "position" FROM individuals""")
 def sorted_panel(spark: SparkSession, sf: str) -> DataFrame:
     df = individuals(spark, sf).select("Plot", "Tag", "Year", "Status")
-    return arrange(df, "Plot", "Tag", "Year", "Status")
+    return with_position(df, "Plot", "Tag", "Year", "Status")
 
 
 @query("""SELECT o_orderkey AS "key", o_totalprice AS "price", o_orderdate IS NULL AS "undated", '2023' AS "Year",

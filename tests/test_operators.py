@@ -8,7 +8,7 @@ from plotfield.operators import (
     duplicate_keys, earliest_rows, exact_quantiles, first_rows, first_seen, grid, grid_over,
     inner_join, keep_groups_any, left_join, longer, longer_values, lookup_join, mean_sd_table,
     mean_se, member_flag, null_count, pool_se, proportion_se, rates, semi_join, separate,
-    summarise_across, union_fill, union_strict, var_table, wider, zscore,
+    summarise_across, union_fill, union_strict, var_table, wider, with_position, zscore,
 )
 
 
@@ -96,6 +96,23 @@ def test_separate_fills_absent_pieces(spark, rows):
     assert rows(separate(df, "c", [None, "p", "d"], "_")) == [("1", "a"), ("2", None), (None, None)]
 
 
+def test_positions_over_several_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 37 % 100).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("s"), F.col("id").alias("i")).repartition(5)
+    wanted = sorted(((r.k, r.s is None, r.s or 0, r.i) for r in df.collect()))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = with_position(df, "k", "s", "i")
+        assert out.columns == ["k", "s", "i", "position"]
+        found = sorted(out.collect(), key=lambda r: r.position)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.position for r in found] == list(range(1, 1001))
+    assert [(r.k, r.s is None, r.s or 0, r.i) for r in found] == wanted
+    tied = with_position(df.select(F.lit(1).alias("k")), "k", name="n")
+    assert sorted(r.n for r in tied.collect()) == list(range(1, 1001))
+    assert with_position(df.where("k < 0"), "k").count() == 0
+
+
 def test_wider(spark, rows):
     df = spark.createDataFrame(
         [(1, 2023, "alive"), (1, 2024, "dead"), (2, 2023, None), (3, None, "x")],
