@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from itertools import combinations
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -139,30 +139,40 @@ class LinearFit:
         return posthoc.pairwise_table(self.spark, self.design, over, self.frame.at, beta, cov,
                                       lambda row: float(self.df_resid), adjust)
 
-    def _term_means(self, term: Term) -> pd.DataFrame:
+    def _term_means(self, term: Term) -> DataFrame:
+        """(i, label, n, mean) of the cell means of a factor term, ``i`` their place in the order of the levels, first factor fastest."""
         total = f"__m{len(self.design.monomials)}"
-        means = self.frame.cells.groupBy(*term).agg(
-            F.sum("__n").alias("__n"), F.sum(F.col("__n") * F.col(total)).alias("__t")).toPandas()
+        place, stride = F.lit(0).cast("long"), 1
         for f in term:
-            means[f] = pd.Categorical(means[f], categories=self.design.levels[f], ordered=True)
-        return means.sort_values(list(reversed(term))).reset_index(drop=True)
+            levels = self.design.levels[f]
+            codes = F.create_map(*[F.lit(x) for j, level in enumerate(levels) for x in (level, j)])
+            place, stride = place + F.element_at(codes, F.col(f)) * stride, stride * len(levels)
+        return self.frame.cells.groupBy(*term).agg(
+            F.sum("__n").alias("n"), (F.sum(F.col("__n") * F.col(total)) / F.sum("__n")).alias("mean")).select(
+            place.alias("i"), F.concat_ws(":", *term).alias("label"), "n", "mean")
+
+    def _term_pairs(self, term: Term) -> DataFrame:
+        """Differences of all pairs of a term's means: each mean lists the later places, and these meet their means by an equality."""
+        means = self._term_means(term)
+        k, df, half = means.count(), float(self.df_resid), self.sigma2 / 2.0
+        later = means.select(F.col("i").alias("j"), F.col("label").alias("other"), F.col("n").alias("m"), F.col("mean").alias("upper"))
+        places = math.prod(len(self.design.levels[f]) for f in term)
+        pairs = means.where(F.col("i") < places - 1).withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.lit(places - 1).cast("long")))).join(later, "j")
+
+        @F.pandas_udf("double")
+        def tail(q: pd.Series) -> pd.Series:
+            return pd.Series([studentised_range_upper(x, k, df) for x in q], dtype="float64")
+
+        return pairs.withColumns({
+            "diff": F.col("upper") - F.col("mean"), "se": F.sqrt(F.lit(half) * (1 / F.col("n") + 1 / F.col("m"))),
+        }).select(F.lit(":".join(term)).alias("term"), F.concat("other", F.lit("-"), "label").alias("comparison"), "diff", "se",
+                  tail(F.abs("diff") / F.col("se")).alias("p_adj"))
 
     def tukey_hsd(self, terms: Sequence[Term | str] | None = None) -> DataFrame:
         """All pairwise differences of the cell means of each factor term."""
         wanted = [(t,) if isinstance(t, str) else tuple(t) for t in terms] if terms else [
             t for t in self.design.terms if all(v in self.design.levels for v in t)]
-        rows = []
-        for term in wanted:
-            means = self._term_means(term)
-            n, mean = means["__n"].to_numpy(), (means["__t"] / means["__n"]).to_numpy()
-            label = [":".join(str(v) for v in row) for row in means[list(term)].to_numpy()]
-            for i, j in combinations(range(len(means)), 2):
-                gap = mean[j] - mean[i]
-                se = math.sqrt(self.sigma2 / 2.0 * (1.0 / n[i] + 1.0 / n[j]))
-                p = studentised_range_upper(abs(gap) / se, len(means), self.df_resid)
-                rows.append((":".join(term), f"{label[j]}-{label[i]}", gap, se, p))
-        return table(self.spark, rows, "term string, comparison string, diff double, "
-                                       "se double, p_adj double")
+        return reduce(DataFrame.unionByName, [self._term_pairs(t) for t in wanted])
 
 
 def linear_model(
