@@ -221,6 +221,52 @@ def test_exact_option(spark):
     assert sum(got[k] == want[k] for k in want) >= len(want) - 1
 
 
+def linked_rows():
+    """Groups of near copies of texts that are not among them, most pairs near the threshold."""
+    pick = random.Random(31)
+    bases = [prose(pick, 120) for _ in range(6)]
+    return [(100 * g + k, edited(pick, base, 0.075)) for g, base in enumerate(bases) for k in range(60)]
+
+
+def sketch_classes(spark, rows):
+    """Components of all pairs that share a sketch and are similar, by brute force."""
+    sketches = order_minhash.document_sketches(spark.createDataFrame(rows, "doc long, text string")).collect()
+    held, seqs = collections.defaultdict(set), numbered(rows)
+    for r in sketches:
+        held[r.doc].add((r.band, r.value))
+    root = {k: k for k, _ in rows}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in itertools.combinations(root, 2):
+        total = len(seqs[a]) + len(seqs[b])
+        if held[a] & held[b] and order_minhash.common_subsequence(seqs[a], seqs[b], int(np.ceil(total * 0.8 / 1.8 - 1e-9))) >= 0:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {k: find(k) for k in root}
+
+
+def test_no_link_of_a_bucket_is_lost(spark):
+    """Every similar pair that shares a sketch is linked, also where the two are never near each other in an order of their bucket."""
+    rows = linked_rows()
+    want = sketch_classes(spark, rows)
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 100 < sum(want[k] != k for k in want) and got == want
+
+
+@pytest.mark.parametrize("size", [3, 10, 100])
+def test_cells_hold_all_pairs_of_classes(spark, size):
+    classes = [0] * 25 + [30] * 4 + list(range(40, 52))
+    members = [(0, value, d, root) for value in (7, 8) for d, root in enumerate(classes[: 41 if value == 7 else 27])]
+    got = collections.defaultdict(list)
+    for r in order_minhash.cells(spark.createDataFrame(members, "band int, value long, doc long, root long"), size).collect():
+        got[r.value, r.i, r.j].append(r)
+    met = collections.Counter((cell[0], *sorted((x.doc, y.doc))) for cell, held in got.items() for x, y in itertools.combinations(held, 2)
+                              if x.root != y.root and (cell[1] == cell[2] or x.chunk != y.chunk))
+    assert met == {(v, a, b): 1 for (_, v, a, ra), (_, w, b, rb) in itertools.combinations(members, 2) if v == w and ra != rb}
+
+
 @pytest.mark.parametrize("members", [40, 140])
 def test_chain_of_links_in_one_bucket(spark, members):
     """Only neighbours are alike, so no centre is like more than two. A second round has pairs, and no link is lost."""
