@@ -375,6 +375,61 @@ def test_short_paragraphs_with_changed_words_meet(spark):
     assert len(whole) > 50 and sum(bool(v[0] & v[1]) for v in whole) >= 0.9 * len(whole)
 
 
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for k, x in enumerate(a):
+        new = [k + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+def test_edit_distance():
+    pick = random.Random(7)
+    for _ in range(200):
+        a = "".join(pick.choice("abé ") for _ in range(pick.randrange(0, 40)))
+        b = "".join(c for c in a if pick.random() < 0.9) + "".join(pick.choice("abé ") for _ in range(pick.randrange(0, 5)))
+        assert paragraph_dedup.edit_distance(a, b) == levenshtein(a, b)
+
+
+def test_paragraph_bounds_rule_out_no_similar_pair():
+    import pyarrow as pa
+    pick = random.Random(8)
+    texts = [prose(pick, 16, 60) for _ in range(12)]
+    texts += [edited(pick, t, 0.1) for t in texts for _ in range(3)]
+    sets = [[hash(x) for x in shingles(t)] for t in texts]
+    among = paragraph_dedup.Paragraphs(pa.table({"shingles": pa.array(sets, pa.list_(pa.int64())), "short": [None if k % 5 == 4 else t for k, t in enumerate(texts)]}), 0.8)
+    x, y = np.array(list(itertools.combinations(range(len(texts)), 2))).T
+    keep, _ = among.possible(x, y)
+    alike = np.array([among.alike(a, b) for a, b in zip(x.tolist(), y.tolist())])
+    assert alike.sum() > 20 and keep[alike].all() and keep.sum() < len(keep) / 2
+
+
+def test_no_similar_paragraph_of_a_bucket_is_lost(spark):
+    """All similar paragraphs that share a band are of one component, also where the two are never near each other in an order of their bucket."""
+    pick = random.Random(17)
+    bases = [prose(pick, 22, 3000).replace(".", "").split() for _ in range(4)]
+    rows = [(100 * g + k, " ".join(f"z{pick.randrange(1000)}" if pick.random() < 0.14 else w for w in base)) for g, base in enumerate(bases) for k in range(90)]
+    frame = spark.createDataFrame(rows, "doc long, text string").repartition(3)
+    found = paragraph_dedup.bands(frame).collect()
+    pieces = {(r.doc, r["at"]): dict(rows)[r.doc].encode()[r["first"]: r["last"]].decode().lower() for r in paragraph_dedup.paragraphs(frame).collect()}
+    held = {(r.of, r["at"]): (r.p, set(r["values"])) for r in found}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    root = {k: k for k in held}
+    for a, b in itertools.combinations(sorted(held), 2):
+        s, t = set(shingles(pieces[a])), set(shingles(pieces[b]))
+        far = max(len(pieces[a]), len(pieces[b]))
+        if held[a][1] & held[b][1] and find(a) != find(b) and (len(s & t) >= 0.8 * len(s | t) or 1 - levenshtein(pieces[a], pieces[b]) / far >= 0.8):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {(r.doc, r["at"]): (r.kdoc, r.kat) for r in paragraph_dedup.repeated_paragraphs(frame).collect()}
+    assert len(got) > 100 and got == {k: find(k) for k in root if find(k) != k}
+
+
 # -- lines and benchmarks -------------------------------------------------------------------------------------------
 
 def test_lines_against_sql(spark):
