@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from plotfield.llm import common, decontaminate, line_dedup, ngram_quality, order_minhash, paragraph_dedup, suffix_repeats
 
 
@@ -255,6 +256,15 @@ def test_no_link_of_a_bucket_is_lost(spark):
     assert 100 < sum(want[k] != k for k in want) and got == want
 
 
+def test_pipeline_keeps_one_of_each_class(spark):
+    """The stage drops every document that a link of a bucket joins to a smaller one."""
+    rows = linked_rows()
+    want = sketch_classes(spark, rows)
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert got == {k for k in want if want[k] == k}
+
+
 @pytest.mark.parametrize("size", [3, 10, 100])
 def test_cells_hold_all_pairs_of_classes(spark, size):
     classes = [0] * 25 + [30] * 4 + list(range(40, 52))
