@@ -1,9 +1,10 @@
 """Document quality by perplexity under an interpolated modified Kneser-Ney model.
 
-The model predicts characters from the three before them, by language. It is trained on all trusted documents. Counts
+Characters are spelt as units of six bits, each character in its own way, so that none is folded into another; the model predicts each
+unit from the five before it, by language. It is trained on all trusted documents. Counts
 are partial sums of map tasks, grouped by n-gram; discounts and back-off weights come from joins of the counts with
-the totals of their contexts, sharded by language and context. With an alphabet of fixed size the model is bounded
-however large the corpus is; it is scored in shards of bounded size, and the shards' log probabilities add up.
+the totals of their contexts, sharded by language and context. The model grows with the different sequences of characters
+in the corpus; it is scored in shards of bounded size, and the shards' log probabilities add up.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import settle, slices, small_side
 
-#: Symbols of the alphabet, and the model's order. A symbol takes six bits of a key.
-SYMBOLS, ORDER, BITS = 64, 4, 6
+#: Units, and the model's order in units. A unit takes six bits of a key.
+SYMBOLS, ORDER, BITS = 64, 6, 6
 #: N-grams that a scoring task holds at a time. A larger model is scored in several passes.
 MODEL_ROWS = 4_000_000
 #: Quantiles of the trusted documents' perplexities, by language, between which a document is kept.
@@ -24,41 +25,58 @@ LOW, HIGH = 0.0005, 0.9995
 SLACK = 1.0
 
 
-def alphabet() -> np.ndarray:
-    """Symbols of the code points below 0x250. 0 begins a text, 1 is white space, 2 a digit, 3 to 28 are letters."""
-    table = np.full(0x250, 62, np.uint8)  # other letters
-    for code in range(0x250):
-        c = chr(code).lower()
-        if c.isspace():
-            table[code] = 1
-        elif c.isdigit():
-            table[code] = 2
-        elif "a" <= c[0] <= "z":
-            table[code] = 3 + ord(c[0]) - 97
-        elif 0xDF <= ord(c[0]) <= 0xFF and c.isalpha():
-            table[code] = 29 + (ord(c[0]) - 0xDF) % 22
-        elif not c.isalpha():
-            table[code] = 51 + ".,;:!?-'\"".find(c) if c in ".,;:!?-'\"" else 61 if c in "#*$%&|<>" else 60
-    return table
+#: Characters of one unit, from 1 on; 0 begins a text and is no other unit.
+SINGLE = " \nabcdefghijklmnopqrstuvwxyz0123456789.,;:!?-'\"()"
 
 
-TABLE = alphabet()
-#: Characters from 0x250 on.
-OTHER = np.uint8(63)
+def alphabet() -> tuple[np.ndarray, np.ndarray]:
+    """Of every code point the number of units that spell it, and these units in one number, the last one lowest.
+
+    No two characters have the same units, and no character's units begin another's. ``SINGLE`` takes one unit; 50 makes the letter after it a
+    capital; 51 to 60 and a unit are the other characters to U+017F, and Greek and Cyrillic from U+0370 to U+045F; 61 and two units those from there to
+    U+13E0, 62 and three units all others to U+3D0BE, 63 and four the rest.
+    """
+    digits = SYMBOLS - 1
+    codes = np.arange(0x110000, dtype=np.uint32)
+
+    def spelt(lead: int, number: np.ndarray, size: int) -> np.ndarray:
+        out = number // digits ** size + lead
+        for k in reversed(range(size)):
+            out = out << BITS | number // digits ** k % digits + 1
+        return out
+
+    sizes, units = np.full(len(codes), 5, np.uint8), spelt(63, codes, 4)
+    for first, last, lead, size, base in ((0, digits ** 3, 62, 3, 0), (0x460, 0x460 + digits ** 2, 61, 2, 0x460), (0, 0x180, 51, 1, 0), (0x370, 0x460, 51, 1, 0x370 - 0x180)):
+        sizes[first:last], units[first:last] = size + 1, spelt(lead, codes[first:last] - np.uint32(base), size)
+    for k, c in enumerate(SINGLE):
+        sizes[ord(c)], units[ord(c)] = 1, k + 1
+        if c.isalpha():
+            sizes[ord(c.upper())], units[ord(c.upper())] = 2, 50 << BITS | k + 1
+    return sizes, units
+
+
+SIZES, UNITS = alphabet()
 
 
 def encoded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the n-grams that end at each character, three beginnings before the first one, and the rows' offsets."""
+    """Keys of the n-grams that end at each unit, with beginnings before the first one, and the rows' offsets."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbols = np.where(codes < 0x250, TABLE[np.minimum(codes, 0x24F)], OTHER).astype(np.uint32)
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    padded = np.zeros(len(symbols) + (ORDER - 1) * len(texts), np.uint32)
-    at = np.arange(len(symbols)) + (ORDER - 1) * (np.repeat(np.arange(len(texts)), lengths) + 1)
+    sizes, units = SIZES[codes], UNITS[codes]
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    offsets = ends[np.concatenate([[0], np.cumsum(lengths)])]
+    symbols = np.empty(ends[-1], np.uint8)
+    symbols[ends[1:] - 1] = units & np.uint32(SYMBOLS - 1)
+    rest = np.flatnonzero(sizes > 1)
+    for k in range(1, 5):
+        rest = rest[sizes[rest] > k]
+        symbols[ends[rest + 1] - 1 - k] = units[rest] >> np.uint32(BITS * k) & np.uint32(SYMBOLS - 1)
+    padded = np.zeros(len(symbols) + (ORDER - 1) * len(texts), np.uint64)
+    at = np.arange(len(symbols)) + (ORDER - 1) * (np.repeat(np.arange(len(texts)), np.diff(offsets)) + 1)
     padded[at] = symbols
-    keys = np.zeros(len(symbols), np.uint32)
+    keys = np.zeros(len(symbols), np.uint64)
     for k in range(ORDER):
-        keys = keys << np.uint32(BITS) | padded[at - (ORDER - 1 - k)]
+        keys = keys << np.uint64(BITS) | padded[at - (ORDER - 1 - k)]
     return keys, offsets
 
 
@@ -71,9 +89,9 @@ def ngram_counts(df: DataFrame) -> DataFrame:
                 own = batch.filter(pa.array([x == lang for x in langs]))
                 for part in slices(own, "text"):
                     keys, counts = np.unique(encoded(part.column(1).to_pylist())[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int32)), pa.array(counts)], names=["lang", "key", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts)], names=["lang", "key", "n"])
 
-    return df.mapInArrow(run, "lang string, key int, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return df.mapInArrow(run, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
 def discounted(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
@@ -114,66 +132,83 @@ def train(trusted: DataFrame) -> DataFrame:
 
 
 class Scorer:
-    """Log probabilities of a shard of one language's model: a page of all endings for each pair of first symbols seen."""
+    """Log probabilities of a shard of one language's model, from sorted keys of each length."""
 
     def __init__(self, kind: np.ndarray, level: np.ndarray, key: np.ndarray, value: np.ndarray) -> None:
-        def dense(which: int, size: int, fill: float) -> np.ndarray:
-            own = (kind == which) & (level == size)
-            out = np.full(SYMBOLS ** size, fill, np.float32)
-            out[key[own]] = value[own]
-            return out
-
-        # p[context, symbol] of each order from the one below, which a longer context repeats.
-        p = np.full((1, SYMBOLS), 1 / SYMBOLS, np.float32)
-        for size in range(1, ORDER):
-            contexts = SYMBOLS ** (size - 1)
-            p = np.tile(p, (contexts // len(p), 1)) * dense(1, size - 1, 1.0)[:, None] + dense(0, size, 0.0).reshape(contexts, SYMBOLS)
-        p = p.ravel()
-        self.low = p  # by the last three symbols
-        own = (kind == 0) & (level == ORDER)
-        keys, shares = key[own], value[own]
-        pair = SYMBOLS ** 2
-        seen = np.unique(keys // pair)
-        self.page = np.full(pair, -1, np.int64)
-        self.page[seen] = np.arange(len(seen))
-        weights = np.ones(SYMBOLS ** (ORDER - 1), np.float32)
-        some = (kind == 1) & (level == ORDER - 1)
-        weights[key[some]] = value[some]
-        pages = (self.low.reshape(SYMBOLS, SYMBOLS, SYMBOLS)[seen % SYMBOLS] * weights.reshape(pair, SYMBOLS)[seen][:, :, None]).reshape(-1)
-        pages[self.page[keys // pair] * pair + keys % pair] += shares
-        self.pages = np.log(np.maximum(pages, 1e-9)).astype(np.float32)
-        self.low = np.log(np.maximum(self.low, 1e-9)).astype(np.float32)
+        def ordered(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+            own = np.flatnonzero((kind == which) & (level == size))
+            own = own[np.argsort(key[own])]
+            return key[own], value[own]
+
+        self.weights = [ordered(1, size) for size in range(ORDER)]
+        # Of each n-gram seen the share, and what is left to the shorter one, which is seen too.
+        low = np.full(SYMBOLS, 1 / SYMBOLS, np.float32) * (self.weights[0][1][0] if len(self.weights[0][1]) else 1.0)
+        keys, shares = ordered(0, 1)
+        low[keys] += shares
+        self.single = low
+        self.ngrams = [(np.arange(SYMBOLS), low)]
+        for size in range(2, ORDER + 1):
+            keys, shares = ordered(0, size)
+            shorter, p = self.ngrams[-1]
+            contexts, weights = self.weights[size - 1]
+            if len(keys):
+                p = shares + weights[np.searchsorted(contexts, keys >> BITS)] * p[np.searchsorted(shorter, keys & ((1 << BITS * (size - 1)) - 1))]
+            self.ngrams.append((keys, p if len(keys) else shares))
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        keys = keys.astype(np.int64)
-        page = self.page[keys >> 2 * BITS]
-        found = self.pages[np.maximum(page, 0) * SYMBOLS ** 2 + (keys & (SYMBOLS ** 2 - 1))] if len(self.pages) else np.zeros(len(keys), np.float32)
-        return np.where(page >= 0, found, self.low[keys & (SYMBOLS ** 3 - 1)])
+        keys, where = np.unique(keys.view(np.int64), return_inverse=True)
+        out, weight = np.zeros(len(keys)), np.ones(len(keys))
+        left = np.arange(len(keys))
+        for size in range(ORDER, 1, -1):
+            seen, at = found(self.ngrams[size - 1][0], keys[left] & ((1 << BITS * size) - 1))
+            out[left[seen]] = self.ngrams[size - 1][1][at[seen]]
+            left = left[~seen]
+            # A context that was never seen leaves all to the shorter n-gram.
+            seen, at = found(self.weights[size - 1][0], keys[left] >> BITS & ((1 << BITS * (size - 1)) - 1))
+            weight[left[seen]] *= self.weights[size - 1][1][at[seen]]
+        out[left] = self.single[keys[left] & (SYMBOLS - 1)]
+        return np.log(np.maximum(out * weight, 1e-12))[where]
+
+
+def found(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the asked keys are among the sorted known ones, and where."""
+    if not len(known):
+        return np.zeros(len(asked), bool), np.zeros(len(asked), np.int64)
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    return known[at] == asked, at
+
+
+#: The most shards: they follow from the two units before the predicted one.
+SHARDS = SYMBOLS ** 2
 
 
-def last_of_context(kind: str, key: str) -> Column:
-    """The symbol before the predicted one: the shard of a row of the model."""
-    return F.expr(f"CASE WHEN {kind} = 1 THEN {key} ELSE shiftrightunsigned({key}, {BITS}) END & {SYMBOLS - 1}")
+def shard_of(context, shards: int):
+    """The shard of contexts, as a column or an array, by their last two units."""
+    pair = context.bitwiseAND(F.lit(SHARDS - 1)) if isinstance(context, Column) else context & (SHARDS - 1)
+    return pair * 1597 % SHARDS % shards
 
 
 def log_probabilities(spark: SparkSession, docs: DataFrame, model: DataFrame) -> DataFrame:
-    """(doc, total, n) of (doc, lang, text): the sum of log probabilities, and the number of characters.
+    """(doc, total, n) of (doc, lang, text): the sum of the units' log probabilities, and the number of characters.
 
-    A shard holds what is needed for the characters after some of the symbols. Shorter n-grams than two symbols are in
+    A shard holds what is needed for the units after some pairs of units. N-grams of two units and fewer are in
     every shard. A language without a model gives no row.
     """
     n = model.count()
-    shards = min(SYMBOLS, max(1, -(-n // MODEL_ROWS)))
+    shards = min(SHARDS, max(1, -(-n // MODEL_ROWS)))
+    context = F.when(F.col("kind") == 1, F.col("key")).otherwise(F.shiftrightunsigned("key", BITS))
+    langs = [r.lang for r in model.select("lang").distinct().collect()]
     parts = []
     for shard in range(shards):
-        own = model.where((F.col("level") <= 1) & ((F.col("kind") == 0) | (F.col("level") == 0)) | (last_of_context("kind", "key") % shards == shard)).toArrow()
-        langs = own.column("lang").to_pylist()
-        arrays = {}
-        for lang in dict.fromkeys(langs):
-            mine = np.fromiter((x == lang for x in langs), bool, len(langs))
-            arrays[lang] = [own.column(c).to_numpy()[mine] for c in ("kind", "level", "key", "value")]
-        held = spark.sparkContext.broadcast(arrays)
-        parts.append(_scored(docs, held, shard, shards))
+        own = model.where((F.col("level") + F.col("kind") <= 2) | (shard_of(context, shards) == shard))
+        scorers = {}
+        for lang in langs:
+            # One language at a time on the driver, in as few bytes as hold it.
+            held = own.where(F.col("lang") == lang).select(F.col("kind").cast("tinyint"), F.col("level").cast("tinyint"), "key", F.col("value").cast("float")).toArrow()
+            scorers[lang] = Scorer(*[c.to_numpy() for c in held.columns])
+            del held
+        parts.append(_scored(docs, spark.sparkContext.broadcast(scorers), shard, shards))
+        del scorers
     scored = parts[0]
     for part in parts[1:]:
         scored = scored.unionByName(part)
@@ -182,24 +217,22 @@ def log_probabilities(spark: SparkSession, docs: DataFrame, model: DataFrame) ->
 
 def _scored(docs: DataFrame, held, shard: int, shards: int) -> DataFrame:
     def run(batches):
-        scorers: dict[str, Scorer] = {}
         for batch in batches:
             langs = batch.column(1).to_pylist()
             for lang in dict.fromkeys(langs):
                 if lang not in held.value:
                     continue
-                if lang not in scorers:
-                    scorers[lang] = Scorer(*held.value[lang])
                 own = batch.filter(pa.array([x == lang for x in langs]))
                 for part in slices(own, "text"):
-                    keys, offsets = encoded(part.column(2).to_pylist())
-                    score = scorers[lang](keys).astype(np.float64)
+                    texts = part.column(2).to_pylist()
+                    keys, offsets = encoded(texts)
                     if shards > 1:
-                        score[(keys >> np.uint32(BITS) & np.uint32(SYMBOLS - 1)) % shards != shard] = 0.0
-                    sums = np.concatenate([[0.0], np.cumsum(score)])
-                    sizes = np.diff(offsets)
+                        mine = np.flatnonzero(shard_of(keys.view(np.int64) >> BITS, shards) == shard)
+                        offsets, keys = np.searchsorted(mine, offsets), keys[mine]
+                    sums = np.concatenate([[0.0], np.cumsum(held.value[lang](keys))])
+                    sizes = np.fromiter(map(len, texts) if shard == 0 else (0 for _ in texts), np.int64, len(texts))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0), pa.array(sums[offsets[1:]] - sums[offsets[:-1]]), pa.array(sizes if shard == 0 else np.zeros_like(sizes))], names=["doc", "total", "n"])
+                        [part.column(0), pa.array(sums[offsets[1:]] - sums[offsets[:-1]]), pa.array(sizes)], names=["doc", "total", "n"])
 
     return docs.mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, total double, n bigint")
 

@@ -532,6 +532,36 @@ def test_perplexity_by_definition(spark, monkeypatch, rows):
         assert got[i][1] == len(t) and got[i][0] == pytest.approx(float(np.log(score(t)).sum()) if t else 0, rel=1e-4, abs=1e-4)
 
 
+def test_alphabet_is_open():
+    """Every character has units of its own, none of them the beginning of another's."""
+    sizes, units = ngram_quality.alphabet()
+    spelt = units.astype(np.uint64) << (6 * (5 - sizes)).astype(np.uint64)
+    order = np.argsort(spelt)
+    ends = spelt + (np.uint64(1) << (6 * (5 - sizes)).astype(np.uint64))
+    assert len(sizes) == 0x110000 and (ends[order][:-1] <= spelt[order][1:]).all()
+    assert all((units >> np.uint32(6 * k) & np.uint32(63))[sizes > k].all() for k in range(5))
+
+
+def test_model_of_other_scripts(spark):
+    """Letter case, digits and letters of other scripts are told apart, and the model grows with the texts."""
+    pick = random.Random(14)
+    names = {"el": "νερό πέτρα ποτάμι και ουρανός", "ja": "水 石 川 空 山", "en": "Iron 1984 rust 2077 Gold"}
+    fine = lambda lang: " ".join(pick.choice(names[lang].split()) for _ in range(80))
+    known = [(lang, fine(lang)) for lang in names for _ in range(20)]
+    asked = []
+    for lang in names:
+        text = fine(lang)
+        other = {"el": lambda t: "".join(pick.sample(t, len(t))), "ja": lambda t: t.replace("水", "火").replace("山", "森"),
+                 "en": lambda t: t.swapcase().replace("1984", "7520")}[lang](text)
+        asked += [(lang + " fine", lang, text), (lang + " other", lang, other)]
+    model = ngram_quality.train(spark.createDataFrame(known, "lang string, text string"))
+    got = {r.doc: r.total / r.n for r in ngram_quality.log_probabilities(spark, spark.createDataFrame(asked, "doc string, lang string, text string"), model).collect()}
+    assert all(got[lang + " other"] < got[lang + " fine"] - 0.5 for lang in names), got
+    more = ngram_quality.train(spark.createDataFrame([("en", prose(pick, 400, 5000)) for _ in range(8)], "lang string, text string")).count()
+    less = ngram_quality.train(spark.createDataFrame([("en", prose(pick, 400, 5000)) for _ in range(2)], "lang string, text string")).count()
+    assert more > 1.5 * less
+
+
 def test_quality_by_perplexity(spark):
     pick = random.Random(13)
     fine = lambda: " ".join(pick.choice(["the", "river", "of", "stone", "and", "water", "runs"]) for _ in range(60))
