@@ -403,6 +403,36 @@ def test_edit_distance():
         assert paragraph_dedup.edit_distance(a, b) == levenshtein(a, b)
 
 
+def test_edit_distances_of_many_pairs():
+    pick = random.Random(19)
+    pairs = []
+    for size in [*range(0, 140, 7), 63, 64, 65, 127, 128, 129]:
+        a = "".join(pick.choice("abé \U0001f600") for _ in range(size))
+        pairs += [(a, "".join(c for c in a if pick.random() < 0.9) + "b" * pick.randrange(0, 9)), ("".join(pick.choice("abc") for _ in range(pick.randrange(0, 90))), a)]
+    codes = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    assert paragraph_dedup.edit_distances([codes(a) for a, _ in pairs], [codes(b) for _, b in pairs]).tolist() == [levenshtein(a, b) for a, b in pairs]
+
+
+def test_pairs_of_a_cell_are_verified_together():
+    """The verdicts of many pairs are those of the rule, one pair at a time, and take a part of that time."""
+    import time
+    import pyarrow as pa
+    pick = random.Random(20)
+    texts = [prose(pick, 20, 60) for _ in range(20)]
+    texts += [edited(pick, t, 0.15) for t in texts for _ in range(3)]
+    among = paragraph_dedup.Paragraphs(pa.table({"shingles": pa.array([[hash(x) for x in shingles(t)] for t in texts], pa.list_(pa.int64())), "short": texts}), 0.8)
+    x, y = np.array(list(itertools.combinations(range(len(texts)), 2))).T
+    start = time.process_time()
+    got = among.similar(x, y)
+    middle = time.process_time()
+    far = [paragraph_dedup.edit_distance(texts[a], texts[b]) for a, b in zip(x.tolist(), y.tolist())]
+    end = time.process_time()
+    sets = [set(shingles(t)) for t in texts]
+    want = [len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or 1 - d / max(len(texts[a]), len(texts[b])) >= 0.8 for a, b, d in zip(x.tolist(), y.tolist(), far)]
+    assert got.tolist() == want and 20 < sum(want) < len(want) / 2
+    assert middle - start < (end - middle) / 2
+
+
 def test_paragraph_bounds_rule_out_no_similar_pair():
     import pyarrow as pa
     pick = random.Random(8)
