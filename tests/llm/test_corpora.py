@@ -446,6 +446,54 @@ def test_paragraph_bounds_rule_out_no_similar_pair():
     assert alike.sum() > 20 and keep[alike].all() and keep.sum() < len(keep) / 2
 
 
+def test_unlike_paragraphs_of_a_large_cell_are_ruled_out_together():
+    """In a cell of many rows only a small part of the pairs is looked at one by one, and no similar pair is left out, of one chunk or of two."""
+    import pyarrow as pa
+    pick = random.Random(23)
+    texts = [prose(pick, pick.randrange(10, 33), 400) for _ in range(200)]
+    texts += [edited(pick, t, 0.08) for t in texts[:60]] + ["word " * 20, "word " * 23, "", "x"]
+    sets = [[hash(x) for x in shingles(t)] for t in texts]
+    among = paragraph_dedup.Paragraphs(pa.table({"shingles": pa.array(sets, pa.list_(pa.int64())), "short": [None if k % 9 == 4 else t for k, t in enumerate(texts)]}), 0.8)
+    rows, n = np.arange(len(texts)), len(texts)
+    for begin in (rows + 1, np.where(rows < 130, 130, n)):
+        x, y = (np.concatenate(z) for z in zip(*(among.meeting(rows[k: k + 90], begin[k: k + 90], np.full(len(rows[k: k + 90]), n)) for k in range(0, n, 90))))
+        met = set(zip(x.tolist(), y.tolist()))
+        assert len(met) == len(x)
+        every = [(a, b) for a in rows.tolist() for b in range(begin[a], n)]
+        u, v = np.array(every).T
+        alike = {e for e, good in zip(every, among.similar(u, v)) if good}
+        assert len(alike) > 20 and alike <= met <= set(every)
+        tail = sum(1 for a, b in every if n - a < among.LARGE)
+        assert len(met) - tail < 0.2 * (len(every) - tail)
+
+
+def test_pairs_with_too_many_edits_are_given_up():
+    pick = random.Random(24)
+    texts = [np.array([pick.randrange(30) for _ in range(pick.randrange(0, 180))], np.uint8) for _ in range(40)]
+    texts += [np.array([c for c in t if pick.random() < 0.95], np.uint8) for t in texts]
+    pairs = [(a, b) for a in texts for b in texts]
+    far = paragraph_dedup.edit_distances([a for a, _ in pairs], [b for _, b in pairs])
+    most = np.array([pick.randrange(0, 60) for _ in pairs])
+    got = paragraph_dedup.edit_distances([a for a, _ in pairs], [b for _, b in pairs], most)
+    near = far <= most
+    assert 40 < near.sum() < len(pairs) / 2 and (got[near] == far[near]).all() and (got[~near] > most[~near]).all()
+
+
+def test_short_paragraphs_are_spelt_from_their_bytes(spark):
+    """The shingles made from a short paragraph's bytes are those of its words in the text, also outside of ASCII; a long one's are sent."""
+    pick = random.Random(25)
+    rows = [(k, ". ".join(prose(pick, 15).replace("a", "\u00c4") for _ in range(8))) for k in range(6)] + [(7, "word " * 200)]
+    found = paragraph_dedup.paragraphs(spark.createDataFrame(rows, "doc long, text string")).collect()
+    frame = spark.createDataFrame([(d, t, [r["at"] for r in found if r.doc == d]) for d, t in rows], "doc long, text string, ats array<int>")
+    got = {r.p: (set(r.shingles), r.short) for r in paragraph_dedup.whole_sets(paragraph_dedup.shingle_sets(frame)).collect()}
+    for r in found:
+        piece = dict(rows)[r.doc].encode()[r["first"]: r["last"]]
+        words, _, _, at = common.word_hashes(np.frombuffer(piece, np.uint8), np.array([0, len(piece)]))
+        own, _ = common.shingle_hashes(words, at)
+        assert got[r.p] == (set(own.view(np.int64).tolist()), piece.decode().lower() if len(words) <= 32 else None)
+    assert {t is None for _, t in got.values()} == {True, False}
+
+
 def test_no_similar_paragraph_of_a_bucket_is_lost(spark):
     """All similar paragraphs that share a band are of one component, also where the two are never near each other in an order of their bucket."""
     pick = random.Random(17)
