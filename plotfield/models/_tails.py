@@ -108,7 +108,10 @@ def chi2_upper(x: float, df: float) -> float:
     return front * result
 
 
-_erf = np.vectorize(math.erf, otypes=[float])
+def _erf(x: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(math.erf, x.ravel().tolist()), float, x.size).reshape(x.shape)
+
+
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(96)
 
 

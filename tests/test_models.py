@@ -490,3 +490,12 @@ def test_paths_reject_loops_and_unequal_outcomes(chain):
         path_model(df, {"m": ["o"], "o": ["m"]})
     with pytest.raises(ValueError, match="different predictors"):
         path_model(df.withColumn("w", F.col("x") + F.col("m")), {"m": ["x"], "o": ["x", "w"]})
+
+
+def test_tails_can_be_sent_after_use():
+    """The package is sent to the executors by value, also after the driver has computed a tail."""
+    from pyspark import cloudpickle
+
+    from plotfield.models import _tails
+    first = _tails.studentised_range_upper(3.5, 4, 20.0)
+    assert cloudpickle.loads(cloudpickle.dumps(_tails.studentised_range_upper))(3.5, 4, 20.0) == first
