@@ -652,3 +652,51 @@ def test_quality_by_perplexity(spark):
     assert all(got[i].kept for i in range(60)) and not any(got[100 + i].kept for i in range(10))
     assert [(got[i].perplexity, got[i].kept) for i in (201, 202)] == [(None, False)] * 2 and got[200].lang == ""
     assert not any(r.kept for r in ngram_quality.classified(docs, labels.limit(0)).collect())
+
+
+def test_paragraphs_do_not_depend_on_the_texts_beside_them():
+    """A text is cut alike alone, between others and in a slice of another size."""
+    pick = random.Random(31)
+    texts = [prose(pick, pick.randrange(0, 60), 500).encode() for _ in range(300)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    _, starts, _, bounds, row = paragraph_dedup.paragraph_marks(data, offsets)
+    for k, text in enumerate(texts):
+        _, own, _, cuts, _ = paragraph_dedup.paragraph_marks(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert (starts[bounds[:-1][row == k]] - offsets[k]).tolist() == own[cuts[:-1]].tolist()
+
+
+def test_unlike_texts_are_given_up_early():
+    """Pairs that are far apart take a part of the time of their full distances: a bound along the diagonal gives them up."""
+    import time
+    pick = random.Random(32)
+    texts = [np.array([pick.randrange(25) for _ in range(pick.randrange(560, 620))], np.uint8) for _ in range(300)]
+    a, b = texts[::2] * 8, texts[1::2] * 8
+    most = np.full(len(a), 60)
+
+    def took(limit):
+        start = time.process_time()
+        return paragraph_dedup.edit_distances(a, b, limit), time.process_time() - start
+
+    (far, whole), (got, least) = took(None), took(most)
+    assert (far > most).all() and (got > most).all() and (got <= far).all()
+    assert min(least, took(most)[1]) < whole / 2
+
+
+def test_components_of_long_chains_take_few_rounds(spark, monkeypatch):
+    """Chains whose numbers rise, fall, or come by chance: the written tables grow with the logarithm of their length."""
+    pick = random.Random(33)
+    order = pick.sample(range(2000, 3000), 1000)
+    links = [(k, k + 1) for k in range(500)] + [(1500 - k, 1499 - k) for k in range(500)] + list(zip(order[:-1], order[1:])) + [(5000, 5000), (None, 7)]
+    written, settle = [], common.settle
+    monkeypatch.setattr(common, "settle", lambda df: written.append(1) or settle(df))
+    got = {r.node: r.root for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(501), 0), **dict.fromkeys(range(1000, 1501), 1000), **dict.fromkeys(order, 2000), 5000: 5000}
+    assert len(written) < 60
+
+
+def test_lower_case_of_all_texts_at_once():
+    import pyarrow as pa
+    for texts in (["Ab", None, "", "ÉÄß Ǆ"], ["Kelvin K", "Ⱥx", "a𐐀"], ["ΑΣ", "İx"], ["xİ"]):
+        raw = pa.array([None if t is None else t.encode() for t in texts], pa.binary())
+        assert paragraph_dedup.lowered(raw).to_pylist() == [None if t is None else t.lower() for t in texts]
+        assert paragraph_dedup.lowered(raw.slice(1)).to_pylist() == [None if t is None else t.lower() for t in texts[1:]]
